@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from facetry.session import ship
+
 #: Python workers get batches of so many rows; with long texts this bounds a worker's memory.
 ARROW_ROWS = 2000
 
@@ -47,6 +49,8 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def require(df: DataFrame, *columns: str) -> None:
+    """Check the columns of an operator's input, and see that its code reaches the executors."""
+    ship(df.sparkSession)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
