@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetry.llm._shared import purge, require, shared_dir
 from facetry.llm.mixing import n_tokens
@@ -136,7 +137,7 @@ def with_shard(docs: DataFrame, starts: np.ndarray, *, id_col: str = "doc_id") -
     """`docs` and a column `shard`, which takes the place of one of that name. Needs no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(starts)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def place(key):
         import pandas as pd
 
