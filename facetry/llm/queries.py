@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import decontaminate, language, mixing, ngram_join, sharding, toxicity
+from facetry.llm import decontaminate, language, mixing, ngram_join, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.Ledger(spark))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return sharding.assign(docs).select("doc_id", sharding.n_tokens(docs["text"]).alias("n_tokens"), "shard")
@@ -43,7 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_language_spans": op7_language_spans,
+    "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_secret_scan": secrets.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
