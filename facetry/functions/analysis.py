@@ -87,17 +87,24 @@ def shingles(tokens: Column, least: int, most: int) -> Column:
     """Single words and word n-grams of `least` to `most` words, by place and then length."""
     sizes = sorted({1, *range(least, most + 1)})
 
-    def at(_: Column, i: Column) -> Column:
-        each = [F.when(i + k <= F.size(tokens), F.array_join(F.slice(tokens, i + 1, k), " ")) for k in sizes]
-        return F.filter(F.array(*each), lambda s: s.isNotNull())
+    def all_of(tok: Column) -> Column:
+        def at(_: Column, i: Column) -> Column:
+            each = [F.when(i + k <= F.size(tok), F.array_join(F.slice(tok, i + 1, k), " ")) for k in sizes]
+            return F.filter(F.array(*each), lambda s: s.isNotNull())
 
-    return F.flatten(F.transform(tokens, at))
+        return F.flatten(F.transform(tok, at))
+
+    return once(tokens, all_of)
 
 
 def term_vector(tokens: Column) -> Column:
     """Map of each term to its number of occurrences."""
-    kinds = F.array_distinct(tokens)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda t: F.size(F.filter(tokens, lambda x: x == t))))
+    return once(tokens, lambda tok: F.map_from_arrays(F.array_distinct(tok), F.transform(F.array_distinct(tok), lambda t: F.size(F.filter(tok, lambda x: x == t)))))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), the value being computed once a row however often it is used, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
 
 
 def phrase_count(tokens: Column, terms: list[str]) -> Column:
@@ -106,8 +113,12 @@ def phrase_count(tokens: Column, terms: list[str]) -> Column:
     if not n:
         return F.lit(0)
     wanted = F.array(*map(F.lit, terms))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-    return F.when(F.size(tokens) >= n, F.size(F.filter(starts, lambda i: F.slice(tokens, i, n) == wanted))).otherwise(0)
+
+    def count(tok: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tok) - n + 1, F.lit(1)))
+        return F.when(F.size(tok) >= n, F.size(F.filter(starts, lambda i: F.slice(tok, i, n) == wanted))).otherwise(0)
+
+    return once(tokens, count)
 
 
 def haversine(lat: Column, lon: Column, to_lat: float, to_lon: float) -> Column:

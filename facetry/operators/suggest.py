@@ -12,6 +12,10 @@ from facetry.functions.analysis import ngrams
 RECORDS = "id string, key long, type string, creator string, value string"
 
 
+def _equals(gram: str):
+    return lambda x: x == gram
+
+
 def build(records: DataFrame, n: int = 3) -> DataFrame:
     """One suggestion for each distinct (type, creator, value) of the last version of each record, with the keys of its records and its n-grams.
 
@@ -42,7 +46,7 @@ def suggest(suggestions: DataFrame, typed: str, n: int = 3, limit: int = 25, fil
         rows = rows.join(held, same, "left_semi")
     parts = []
     for i, g in enumerate(wanted):
-        tf = F.size(F.filter("grams", lambda x, g=g: x == g))
+        tf = F.size(F.filter("grams", _equals(g)))
         weight = F.log1p((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * tf / (tf + k1 * (1 - b + b * F.size("grams") / F.col("avg")))
         parts.append(weight * grams.count(g))
     scored = rows.crossJoin(F.broadcast(stats)).select("value", "type", "creator", reduce(lambda a, c: a + c, parts).alias("score"))

@@ -25,8 +25,9 @@ _RELATIONAL = (And, Or, Not, Leaf)
 
 @dataclass
 class Response:
-    """`hits` in order, `total` as one row (total, total_with_duplicates), `facets` as counts, `keys` if any were asked for. All are lazy."""
+    """`rows` are all matches with all columns, `hits` the page of them in order, `total` one row (total, total_with_duplicates), `facets` counts, `keys` those asked for. All are lazy."""
 
+    rows: DataFrame
     hits: DataFrame
     total: DataFrame
     facets: DataFrame | None = None
@@ -106,7 +107,7 @@ def execute(query: ComposedQuery, cores: dict[str, Core]) -> Response:
     hits, total = _hits(query, cores, matched, main)
     found = _facets(query, cores, matched)
     keys = distinct_keys(matched, core.col(query.export_key)) if query.export_key else None
-    return Response(hits, total, found, keys)
+    return Response(matched, hits, total, found, keys)
 
 
 def _restricted(query: ComposedQuery, cores: dict[str, Core]) -> DataFrame:

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the place that `spark.checkpoint.dir` names; one is set only where the session has none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="facetry-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once a Spark context: Spark itself copies the archive to each of them."""
     context = spark.sparkContext

@@ -59,19 +59,27 @@ class FieldRegistry:
         return T.StructType([T.StructField(n, column(n)) for n in names])
 
 
+def _named(name: str):
+    return lambda x: x["name"] == name
+
+
+def _value_as(kind: T.DataType):
+    return lambda x: x["value"].cast(kind)
+
+
 def decoded(raw: DataFrame, registry: FieldRegistry, names: list[str], json_col: str = "json") -> DataFrame:
     """The other columns of `raw` and a column for each named field. A name that sorts or is a key holds its first value, others all of theirs."""
     fields = F.from_json(json_col, FIELD)
     out = raw.withColumn("__fields", fields)
     for s in registry.schema(names):
-        own = F.filter("__fields", lambda x, n=s.name: x["name"] == n)
+        own = F.filter("__fields", _named(s.name))
         if isinstance(s.dataType, T.StructType):
             numbers = F.from_json(F.get(own, F.lit(0))["value"], "array<double>")
             value = F.when(F.size(own) > 0, F.struct(numbers[0].alias("lat"), numbers[1].alias("lon")))
         elif isinstance(s.dataType, T.ArrayType) and isinstance(s.dataType.elementType, T.ArrayType):
             value = F.transform(own, lambda x: x["path"])
         elif isinstance(s.dataType, T.ArrayType):
-            value = F.transform(own, lambda x, t=s.dataType.elementType: x["value"].cast(t))
+            value = F.transform(own, _value_as(s.dataType.elementType))
         else:
             value = F.get(own, F.lit(0))["value"].cast(s.dataType)
         out = out.withColumn(s.name, value)
