@@ -55,7 +55,14 @@ def keyword(text: Column) -> Column:
     return F.when(text.isNull(), _empty()).otherwise(F.array(text))
 
 
-ANALYZERS = {"standard": standard, "whitespace": whitespace, "keyword": keyword}
+def dutch(text: Column) -> Column:
+    """Standard terms and, behind each, its Dutch stem where that differs. For term queries: phrases need words alone."""
+    from facetry.functions.stemming import dutch_tokens
+
+    return F.transform(dutch_tokens(standard(text)), lambda t: t.term)
+
+
+ANALYZERS = {"dutch": dutch, "standard": standard, "whitespace": whitespace, "keyword": keyword}
 
 
 def positions(values: Column, analyzer=standard, gap: int = 0) -> Column:

@@ -60,6 +60,11 @@ def distinct_keys(rows: DataFrame, key: Column) -> DataFrame:
     return rows.select(valid_key(key).alias("key")).where("key is not null").distinct()
 
 
+def bitmaps(keys: DataFrame) -> DataFrame:
+    """(bucket, bits): a key set as bitmaps of 32,768 keys each; bucket 1 begins with key 1."""
+    return keys.groupBy(F.bitmap_bucket_number("key").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits"))
+
+
 def collect_keys(core: Core, key: str, node: Node) -> KeySet:
     return KeySet(distinct_keys(core.df.where(predicate(core, node)), core.col(key)))
 

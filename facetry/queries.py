@@ -12,7 +12,7 @@ from facetry.functions.stemming import dutch_tokens
 from facetry.operators import cluster, facets, ranking, suggest, terms
 from facetry.operators.core import Core, Field, Similarity
 from facetry.operators.facets import Facet
-from facetry.operators.keys import evaluate
+from facetry.operators.keys import bitmaps, distinct_keys, evaluate
 from facetry.operators.ranking import SortKey
 from facetry.plans import cql
 from facetry.plans.compile import predicate, with_scores
@@ -488,7 +488,22 @@ def clusters(spark, sf_dir):
     c = core(spark, sf_dir, "documents")
     node = t("text", "license")
     best = with_scores(c, c.df.where(predicate(c, node)), node).orderBy(F.desc("score"), "doc_id").limit(110)
-    return cluster.clustered(c, best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))), {"text": 1.0})
+    return cluster.clustered(c, best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))), [cluster.Strategy({"text": 1.0})])
+
+
+@query()
+def dutch_search(spark, sf_dir):
+    """Documents that hold a word or its Dutch stem."""
+    ship(spark)
+    c = core(spark, sf_dir, "documents")
+    c.fields = {"text": Field("text", analyzer="dutch")}
+    return c.df.where(predicate(c, should(t("text", "the"), t("text", "licens")))).select("doc_id")
+
+
+@query("select cast(floor((o_custkey - 1) / 32768) as bigint) + 1 as bucket, count(distinct o_custkey) as keys from orders where o_custkey > 0 and o_orderstatus = 'P' group by 1")
+def export_key_bitmaps(spark, sf_dir):
+    c = core(spark, sf_dir, "orders")
+    return bitmaps(distinct_keys(c.df.where(predicate(c, t("o_orderstatus", "P"))), F.col("o_custkey"))).select("bucket", F.bitmap_count("bits").alias("keys"))
 
 
 # Query language.

@@ -11,7 +11,9 @@ from facetry.operators.core import Core, Field, Similarity
 from facetry.operators.facets import Facet
 from facetry.operators.ranking import SortKey
 from facetry.plans.compile import predicate, with_scores
-from facetry.plans.composed import ComposedQuery, execute
+from facetry.operators.keys import bitmaps
+from facetry.plans.composed import ComposedQuery, execute, rows_from
+from facetry.session import ship
 from facetry.plans.nodes import Bool, Distance, Drilldown, MatchAll, Phrase, Prefix, Range, Term, Wildcard, from_json, negated, should, to_json
 
 
@@ -146,5 +148,24 @@ def test_clusters(spark):
     assert docs == pytest.approx([0.15 + 0.85 / 3 / 2] * 2) and ranks["a"] == pytest.approx(0.15 + 0.85 * 2 / 3)
     rows = [(1, "apple pear plum", 1, 1.0), (2, "red green blue", 2, 0.9), (3, "apple pear plum", 3, 0.8), (4, None, 4, 0.7)]
     core = Core("c", spark.createDataFrame(rows, "id int, f string, rank int, score double"), "id", {"f": Field("text")})
-    out = cluster.clustered(core, core.df, {"f": 1.0}, more=2).collect()
+    out = cluster.clustered(core, core.df, [cluster.Strategy({"f": 1.0})], more=2).collect()
     assert [(r.rank, r.id, r.score, sorted(r.members)) for r in out] == [(1, "1", 1.0, ["1", "3"]), (2, "2", 0.9, []), (3, "4", 0.7, [])]
+    ways = [cluster.Strategy({"f": 1.0}, eps=0.0, min_points=9), cluster.Strategy({"f": 1.0}, filters={"f": "pear"})]
+    assert [(r.id, sorted(r.members)) for r in cluster.clustered(core, core.df, ways, more=2).collect()] == [("1", ["1", "3"]), ("2", []), ("4", [])]
+
+
+def test_dutch_fields_find_stems(spark):
+    ship(spark)
+    core = Core("c", spark.createDataFrame([(1, "Hond en kat"), (2, "honden en katten"), (3, None)], "id int, f string"), "id", {"f": Field("text", analyzer="dutch")})
+    assert found(core, should(Term(field="f", value="katten"), Term(field="f", value="kat"))) == [1, 2] and found(core, Term(field="f", value="katten")) == [2]
+
+
+def test_key_bitmaps(spark):
+    keys = spark.createDataFrame([(1,), (2,), (32768,), (32769,)], "key long")
+    assert sorted(map(tuple, bitmaps(keys).select("bucket", F.bitmap_count("bits")).collect())) == [(1, 3), (2, 1)]
+
+
+def test_responses_as_json(spark):
+    q = ComposedQuery("c", queries={"c": Term(field="f", value="a")}, stored=["f"])
+    rows = rows_from(execute(q, {"c": Core("c", spark.createDataFrame([(1, "a"), (2, "b")], "id int, f string"))})).collect()
+    assert len(rows) == 1 and rows[0].rank == 1 and '"id":1' in rows[0].hit and '"f":["a"]' in rows[0].hit
