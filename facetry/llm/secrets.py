@@ -2,7 +2,8 @@
 
 Every version of every file is known by the SHA-256 of its content. The ledger, a table of the shared folder, records which
 (blob, rule, rule version) were scanned and what was found. A scan hashes the versions, picks one holder of each blob
-with a pair that the ledger lacks, and scans only those texts for only those rules; then it appends to the ledger and
+with a pair that the ledger lacks, and scans only those texts for only those rules; in the pass that hashes, rules' anchors (words that any
+match must hold) mark the texts that need to travel to their pairs, all others having no findings; then it appends to the ledger and
 joins the findings of all current rules back to all paths that hold the blob, whenever it was scanned. Copies are
 scanned once, unchanged content never again, and a rule whose version changes is run anew over everything.
 
@@ -17,6 +18,8 @@ an empty table or no rules give none.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +29,23 @@ from facetry.llm._shared import require, shared_dir, sized, written
 
 @dataclass(frozen=True)
 class Rule:
+    """Every match of `pattern` must hold one of the `anchors`, whatever the case; without anchors any text may match."""
+
     name: str
     version: int
     pattern: str
+    anchors: tuple[str, ...] = ()
 
 
 RULES = [
-    Rule("aws_access_key", 1, r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
-    Rule("github_token", 1, r"gh[pousr]_[0-9A-Za-z]{36}"),
-    Rule("slack_token", 1, r"xox[abprs]-[0-9A-Za-z-]{10,72}"),
-    Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("stripe_key", 1, r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}"),
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
-    Rule("assigned_secret", 1, r"(?i:password|passwd|secret|api_key|apikey|token)[ ]?[=:][ ]?[\"']?[0-9A-Za-z_/+.-]{8,128}"),
+    Rule("aws_access_key", 1, r"(?:AKIA|ASIA)[0-9A-Z]{16}", ("AKIA", "ASIA")),
+    Rule("github_token", 1, r"gh[pousr]_[0-9A-Za-z]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack_token", 1, r"xox[abprs]-[0-9A-Za-z-]{10,72}", ("xoxa-", "xoxb-", "xoxr-", "xoxs-", "xoxp-")),
+    Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("AIza",)),
+    Rule("stripe_key", 1, r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}", ("k_live_", "k_test_")),
+    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----", ("-----BEGIN ",)),
+    Rule("jwt", 1, r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", ("eyJ",)),
+    Rule("assigned_secret", 1, r"(?i:password|passwd|secret|api_key|apikey|token)[ ]?[=:][ ]?[\"']?[0-9A-Za-z_/+.-]{8,128}", ("password", "passwd", "secret", "api_key", "apikey", "token")),
 ]
 _FINDINGS = "array<struct<rule:string,version:int,at:int,secret_hash:string>>"
 
@@ -69,6 +75,14 @@ def blob_of(text) -> F.Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
+def anchored(text: F.Column, rules: list[Rule]) -> F.Column:
+    """Whether any rule may match; exact in that texts where it is false hold no secret."""
+    if not all(r.anchors for r in rules):
+        return F.lit(True)
+    low = F.lower(text)
+    return reduce(or_, [low.contains(a) for a in sorted({a.lower() for r in rules for a in r.anchors})], F.lit(False))
+
+
 def _positions(text: F.Column, rule: Rule) -> F.Column:
     """All matches of the rule: the text is read once; positions follow from the lengths between matches."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -93,18 +107,18 @@ def scan(files: DataFrame, ledger: Ledger, rules: list[Rule] | None = None, *, p
         raise ValueError("rules need different names")
     inner = [f"__path{k}" for k in range(len(path_cols))]
     source = files.select(*(F.col(c).alias(i) for c, i in zip(path_cols, inner, strict=True)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    versions = written(source.select(*inner, blob_of(F.col("__text")).alias("blob")).distinct())
+    versions = written(source.select(*inner, blob_of(F.col("__text")).alias("blob"), anchored(F.col("__text"), rules).alias("anchored")).distinct())
     current = [f"{r.name}:{r.version}" for r in rules]
     done = ledger.scanned().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
-    blobs = versions.groupBy("blob").agg(F.min(F.struct(*inner)).alias("holder"))
+    blobs = versions.groupBy("blob").agg(F.min(F.struct(*inner)).alias("holder"), F.max("anchored").alias("anchored"))
     lacks = F.array_except(F.array(*map(F.lit, current)).cast("array<string>"), F.coalesce(F.col("done"), F.array().cast("array<string>")))
-    unseen = written(blobs.join(done, "blob", "left").select("blob", "holder", lacks.alias("todo")).where(F.size("todo") > 0))
-    n = unseen.count()
-    if n:
+    unseen = written(blobs.join(done, "blob", "left").select("blob", "holder", "anchored", lacks.alias("todo")).where(F.size("todo") > 0))
+    n = unseen.where("anchored").count()
+    if unseen.limit(1).count():
         # One row holds each unseen blob's text; a null path is a path too, hence <=>.
-        keys = unseen.select(F.col("blob").alias("__blob"), *(F.col(f"holder.{i}").alias(f"__h{i}") for i in inner), "todo")
+        keys = unseen.where("anchored").select(F.col("blob").alias("__blob"), *(F.col(f"holder.{i}").alias(f"__h{i}") for i in inner), "todo")
         match = [F.col(i).eqNullSafe(F.col(f"__h{i}")) for i in inner]
-        held = source.join(sized(keys, n, 160), match).where(blob_of(F.col("__text")) == F.col("__blob"))
+        held = source.where(anchored(F.col("__text"), rules)).join(sized(keys, n, 160), match).where(blob_of(F.col("__text")) == F.col("__blob"))
         found = F.flatten(F.array(*(F.when(F.array_contains("todo", name), _positions(F.col("__text"), rule)).otherwise(F.array().cast(_FINDINGS)) for rule, name in zip(rules, current, strict=True))))
         fresh = held.select(F.col("__blob").alias("blob"), found.alias("found")).where(F.size("found") > 0)
         rows = fresh.select("blob", F.explode("found").alias("f")).select("blob", "f.rule", "f.version", "f.at", "f.secret_hash").distinct()
@@ -113,7 +127,7 @@ def scan(files: DataFrame, ledger: Ledger, rules: list[Rule] | None = None, *, p
         unseen.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger.path}/scanned")
     wanted = F.concat_ws(":", "rule", F.col("version").cast("string")).isin(current) if current else F.lit(False)
     known = ledger.findings().where(wanted).distinct()
-    out = versions.join(known, "blob")
+    out = versions.drop("anchored").join(known, "blob")
     return out.select(*(F.col(i).alias(c) for c, i in zip(path_cols, inner, strict=True)), "blob", "rule", "version", "at", "secret_hash")
 
 
