@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetry.functions.analysis import ANALYZERS
+from facetry.functions.analysis import ANALYZERS, fold
 
 KINDS = ("text", "string", "set", "int", "long", "double", "numeric", "key", "facet", "geo")
 
@@ -47,6 +49,8 @@ class Core:
     fields: dict[str, Field] = field(default_factory=dict)
     order: str | None = None
     similarity: Similarity = Similarity()
+    #: Columns that hold the terms of fields already.
+    ready: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         self.order = self.order or self.id
@@ -85,6 +89,8 @@ class Core:
     def tokens(self, name: str) -> Column:
         """Terms of a searchable field: analysed text, or the values as they are."""
         role = self.role(name)
+        if name in self.ready:
+            return F.col(self.ready[name])
         if role.kind in ("text", "set"):
             analyze = ANALYZERS[role.analyzer]
             out = F.flatten(F.transform(F.coalesce(self.col(name), F.array().cast("array<string>")), analyze)) if self.is_array(name) else analyze(self.col(name))
@@ -105,5 +111,20 @@ class Core:
             return F.coalesce(F.filter(c, lambda p: F.size(p) > 0), none)
         return F.coalesce(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: F.array(x.cast("string"))), none)
 
+    def may_hold(self, name: str, words: list[str]) -> Column:
+        """A cheap test that rows with all these words, or words that begin with them, pass: terms are parts of the folded text."""
+        role = self.role(name)
+        if name in self.ready or role.kind not in ("text", "set") or role.analyzer != "standard" or self.is_array(name):
+            return F.lit(True)
+        text = fold(self.col(name))
+        return reduce(and_, [text.contains(w) for w in dict.fromkeys(words)], F.lit(True))
+
+    def tokenised(self, names: list[str], df: DataFrame) -> tuple[Core, DataFrame]:
+        """`df`, rows of this core, with the terms of text fields in columns of their own, and a core that knows them."""
+        ready = {n: f"__tok{i}" for i, n in enumerate(dict.fromkeys(names)) if self.role(n).kind in ("text", "set") and n not in self.ready}
+        for n, column in ready.items():
+            df = df.withColumn(column, self.tokens(n))
+        return Core(self.name, df, self.id, self.fields, self.order, self.similarity, self.ready | ready), df
+
     def with_df(self, df: DataFrame) -> Core:
         return Core(self.name, df, self.id, self.fields, self.order, self.similarity)

@@ -71,9 +71,11 @@ def similar_documents(core: Core, field: str, doc_id, limit: int = 10, common_sh
     Terms of more than ceil(common_share * rows) rows are common: they add to scores but don't make a match, unless the
     row has no rare term; then all its common terms are required.
     """
-    tokens = core.df.select(F.col(core.id).alias("id"), core.tokens(field).alias("tok")).where(F.size("tok") > 0)
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tok")).alias("avg"))
-    wanted = tokens.where(F.col("id") == doc_id).select(F.explode(F.array_distinct("tok")).alias("term"))
+    own = core.df.where(F.col(core.id) == doc_id)
+    tokens = core.df.select(F.col(core.id).alias("id"), core.tokens(field).alias("tok"))
+    length = F.nullif(F.size("tok"), F.lit(0))
+    stats = tokens.agg(F.count(length).alias("n"), F.avg(length).alias("avg"))
+    wanted = own.select(core.tokens(field).alias("tok")).select(F.explode(F.array_distinct("tok")).alias("term"))
     postings = tokens.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term")).join(wanted.distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats))

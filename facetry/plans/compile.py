@@ -66,18 +66,18 @@ def _raw(core: Core, node: Node) -> Column:
         case MatchAll():
             return F.lit(True)
         case Term(field=field, value=value):
-            return core.col(field).cast("string") == value if _plain(core, field) else F.array_contains(core.tokens(field), value)
+            return core.col(field).cast("string") == value if _plain(core, field) else core.may_hold(field, [value]) & F.array_contains(core.tokens(field), value)
         case Drilldown(dim=dim, path=path):
             wanted = F.array(*map(F.lit, path)).cast("array<string>")
             return F.exists(core.paths(dim), lambda p: F.slice(p, 1, len(path)) == wanted)
         case Prefix(field=field, value=value):
-            return _any(core, field, lambda t: t.startswith(value))
+            return core.may_hold(field, [value]) & _any(core, field, lambda t: t.startswith(value))
         case Wildcard(field=field, value=value):
             return _any(core, field, lambda t: t.rlike(wildcard_pattern(value)))
         case Phrase(field=field, terms=terms):
             if core.role(field).kind == "set" and len(terms) > 1:
                 return F.lit(False)
-            return phrase_count(core.tokens(field), list(terms)) > 0
+            return core.may_hold(field, list(terms)) & (phrase_count(core.tokens(field), list(terms)) > 0)
         case Range():
             return _range(core, node)
         case Distance():
@@ -127,6 +127,9 @@ def with_scores(core: Core, df: DataFrame, node: Node, name: str = "score") -> D
     if core.similarity.kind == "tf" or not leaves:
         return df.withColumn(name, _score(core, node, {}).cast("double"))
     fields = {(_field(x), isinstance(x, Drilldown)): x for x in leaves}
+    columns = [c for c in df.columns if c != name]
+    texts = [f for f, drill in fields if not drill]
+    core, df = core.tokenised(texts, core.df)[0], core.tokenised(texts, df)[1]
     terms = list(dict.fromkeys(t for x in leaves for t in _terms(x)))
     stats, names = [], {}
     for k, ((f, drill), leaf) in enumerate(fields.items()):
@@ -142,7 +145,7 @@ def with_scores(core: Core, df: DataFrame, node: Node, name: str = "score") -> D
         idf[t] = F.log1p((n - F.col(f"__df{k}") + 0.5) / (F.col(f"__df{k}") + 0.5))
     at = {leaf: (reduce(add, [idf[t] for t in _terms(leaf)]), F.col(f"__avg{names[_field(leaf), isinstance(leaf, Drilldown)]}")) for leaf in leaves if _terms(leaf)}
     joined = df.crossJoin(F.broadcast(row)).withColumn(name, _score(core, node, at).cast("double"))
-    return joined.drop(*row.columns)
+    return joined.select(*columns, name)
 
 
 def _tf(core: Core, leaf: Term | Phrase | Drilldown) -> Column:
