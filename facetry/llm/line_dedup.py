@@ -6,7 +6,9 @@ passage. Its rarest line, that of the fewest documents, stands for it: documents
 the same run overlap there. For every run a document is paired with the first document that has it, so pairs grow with the number of
 lines however many copies a passage has, and no line is too common to count. Each pair is aligned by patience diff:
 lines that both hold once, in their longest common order, are anchors, between which the same is done again, and anchors grow
-over equal neighbours. Aligned common blocks of at least `block_words` words are deleted from the later document.
+over equal neighbours. Aligned common blocks of at least `block_words` words are deleted from the later document. Where
+the alignment leaves a run that the earlier document has too, as of a passage that it repeats or has in another order, the
+longest common blocks are searched for wherever they lie in both (suffix automaton), and those of enough words go as well.
 
 Order is by id, and by text hash among rows of one id. The first document of a deleted block keeps its lines, so at least one copy
 of every line stays.
@@ -153,6 +155,63 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _shortest_runs(h: list[int], n: list[int], block_words: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the shortest run of at least `block_words` words from each line on."""
+    total, b = 0, 0
+    for a in range(len(h)):
+        while total < block_words and b < len(h):
+            total += n[b]
+            b += 1
+        if total < block_words:
+            return
+        yield a, b
+        total -= n[a]
+
+
+def moved_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """(start, length) in a of the longest blocks that lie anywhere in b, by a suffix automaton of b."""
+    step: list[dict[int, int]] = [{}]
+    link, most, last = [-1], [0], 0
+    for x in b:
+        new = len(step)
+        step.append({})
+        link.append(0)
+        most.append(most[last] + 1)
+        p = last
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if most[q] > most[p] + 1:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                most.append(most[p] + 1)
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = twin
+                    p = link[p]
+                link[q] = twin
+                q = twin
+            link[new] = q
+        last = new
+    out: list[tuple[int, int]] = []
+    at, length = 0, 0
+    for i, x in enumerate(a):
+        while at and x not in step[at]:
+            at = link[at]
+            length = most[at]
+        if x in step[at]:
+            at, length = step[at][x], length + 1
+        if length:
+            start = i + 1 - length
+            if out and out[-1][0] == start:
+                out[-1] = (start, length)  # the same block, longer
+            else:
+                out.append((start, length))
+    return out
+
+
 def _aligned(block_words: int):
     """Rows: a later document's lines and those of an earlier one. Yields the numbers (among its lines with words) of the lines to delete."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32()))])
@@ -161,14 +220,20 @@ def _aligned(block_words: int):
         for batch in batches:
             ids, ths, gone = [], [], []
             for doc, th, h, n, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "h", "n", "h_first")), strict=True):
-                lines: list[int] = []
+                lines: set[int] = set()
                 for i, _, length in common_blocks(h, first):
                     if sum(n[i : i + length]) >= block_words:
-                        lines.extend(range(i, i + length))
+                        lines.update(range(i, i + length))
+                words = dict(zip(h, n, strict=True))
+                there = {tuple(first[a:b]) for a, b in _shortest_runs(first, [words.get(x, 0) for x in first], block_words)}
+                if any(tuple(h[a:b]) in there and not lines.issuperset(range(a, b)) for a, b in _shortest_runs(h, n, block_words)):
+                    for i, length in moved_blocks(h, first):
+                        if sum(n[i : i + length]) >= block_words:
+                            lines.update(range(i, i + length))
                 if lines:
                     ids.append(doc)
                     ths.append(th)
-                    gone.append(lines)
+                    gone.append(sorted(lines))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, ths, gone), schema.types, strict=True)], schema=schema)
 

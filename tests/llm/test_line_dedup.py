@@ -82,6 +82,23 @@ def test_a_passage_of_many_copies_goes_from_all_but_the_first(spark):
     assert got == {i: [1, 2] for i in range(1, 400)}
 
 
+def test_a_first_holder_that_repeats_or_reorders_passages(spark):
+    p, q = ("\n".join(" ".join(f"{c}{i}x{k}" for k in range(20)) for i in range(3)) for c in "pq")
+    texts = [f"head\n{p}\nmiddle\n{p}\n{q}\nend"] + [f"own {k}\n{x}\nother {k}" for k, x in enumerate([p, p, f"{q}\n{p}", f"{q}\nbetween\n{p}"])]
+    got = {r.doc_id: r.deleted for r in line_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2, 3, 4, 5, 6], 4: [1, 2, 3, 5, 6, 7]}
+
+
+def test_moved_blocks_equal_brute_force():
+    rnd = random.Random(8)
+    for _ in range(300):
+        a, b = ([rnd.randrange(3) for _ in range(rnd.randrange(12))] for _ in "ab")
+        parts = {tuple(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)}
+        longest = {i: max([j - i for j in range(i + 1, len(a) + 1) if tuple(a[i:j]) in parts], default=0) for i in range(len(a))}
+        want = [(i, n) for i, n in longest.items() if n and (not i or longest[i - 1] <= n)]
+        assert line_dedup.moved_blocks(a, b) == want
+
+
 def test_edge_cases(spark):
     block = "\n".join(" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
     rows = [(2, block), (2, block), (1, block + "\n?!\n"), (None, block), (3, None), (4, ""), (5, "?!\n\n"), (6, "x " * 300_000 + "\n" + block), (7, "All rights reserved."), (8, "All rights reserved.")]
