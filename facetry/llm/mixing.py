@@ -81,10 +81,14 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
 
 
 def keep_scheduled(docs: DataFrame, **params) -> DataFrame:
-    """`docs` without the surplus: a row stays if its id is scheduled or null. All columns stay as they are."""
+    """`docs` without the surplus: a row stays if its id is scheduled or null, or in a source that has no tokens and so no default weight. All columns stay as they are."""
     id_col = params.get("id_col", "doc_id")
-    plan = schedule(docs, **params).where("doc_id is not null")
-    surplus = written(plan.groupBy("doc_id").agg(F.max("slot").alias("slot")).where("slot is null").select(F.col("doc_id").alias("__surplus")))
+    plan = schedule(docs, **params)
+    stays = F.col("slot").isNotNull()
+    if params.get("weights") is None:
+        wordless = [r.source for r in plan.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens = 0").collect()]
+        stays = stays | F.col("source").isin(wordless)
+    surplus = written(plan.where("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays")).where("not stays").select(F.col("doc_id").alias("__surplus")))
     return docs.join(sized(surplus, surplus.count(), 40), F.col(id_col).cast("long") == F.col("__surplus"), "left_anti")
 
 

@@ -62,6 +62,13 @@ def test_mixing_edge_cases(spark):
         mixing.schedule(docs, block_tokens=0)
 
 
+def test_sources_without_tokens_stay(spark):
+    rows = [(1, "a", "x y"), (2, "b", ""), (3, "b", None), (4, None, " "), (5, "c", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {2, 3, 4} <= {r.doc_id for r in mixing.keep_scheduled(docs).collect()}
+    assert {r.doc_id for r in mixing.keep_scheduled(docs, weights={"a": 1.0}).collect()} == {1}
+
+
 def best_capacity(sizes, shards):
     """Minimax contiguous partition by dynamic programming."""
     total = np.concatenate([[0], np.cumsum(sizes)])
