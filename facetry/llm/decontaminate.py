@@ -1,8 +1,8 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
 Texts are compared as their lower-case words with single spaces, in UTF-8 bytes. A test item of m bytes may differ from a
-passage by an edit distance of up to k = floor(error_rate * m) (0 for items of under `least_fuzzy` bytes). It is split into
-k + 1 pieces: at least one of them is in the passage unchanged. One Aho-Corasick automaton finds the pieces of all items
+passage by an edit distance of up to k = floor(error_rate * m), in bytes (0 for items of under `least_fuzzy` bytes, by
+default none). It is split into k + 1 pieces: at least one of them is in the passage unchanged. One Aho-Corasick automaton finds the pieces of all items
 in a single run over each whole text. The pieces are leaves of a binary tree whose nodes divide the budget (k = left +
 right + 1), so a hit climbs from piece to item: each node is verified by Myers' bit-parallel distance around the hit, and most
 chance hits end after a node of two pieces. The search is exact: every passage within the budget is found.
@@ -174,7 +174,7 @@ def _check(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
         raise ValueError("error_rate must be in [0, 0.5)")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, least_fuzzy: int = 40, pieces_per_pass: int = 200_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, least_fuzzy: int = 0, pieces_per_pass: int = 200_000) -> DataFrame:
     """(doc_id, item_id, distance): every item that occurs in a document within its budget, with the least distance."""
     _check(docs, benchmark, id_col, text_col, item_col, item_text, error_rate)
     spark = docs.sparkSession
@@ -200,7 +200,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     return reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, least_fuzzy: int = 40, pieces_per_pass: int = 200_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, least_fuzzy: int = 0, pieces_per_pass: int = 200_000) -> DataFrame:
     """`docs` without the rows that hold an item; columns and other rows stay as they are."""
     _check(docs, benchmark, id_col, text_col, item_col, item_text, error_rate)
     place = docs.columns.index(text_col)

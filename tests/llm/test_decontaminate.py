@@ -66,6 +66,13 @@ def test_edited_passages(spark):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_short_items_have_a_budget(spark):
+    docs = spark.createDataFrame([(1, "so the qvick brown fox it is"), (2, "so the qvick brovn fox it is"), (3, "tinx"), (4, "tiny")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "The quick brown fox"), (2, "tiny")], "item_id long, text string")
+    assert sorted(tuple(r) for r in D.matches(docs, bench).collect()) == [(1, 1, 1), (4, 2, 0)]
+    assert [r.doc_id for r in D.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_edge_cases(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     rows = [(1, None), (2, ""), (3, "..."), (4, f"A. {item.upper()}!"), (4, f"A. {item.upper()}!"), (None, item), (5, "lorem " * 100_000 + item.replace("quick", "quikc") + " ipsum" * 50_000), (6, "the quick brown fox")]
