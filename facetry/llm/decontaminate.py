@@ -1,17 +1,21 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Texts are compared as their lower-case words with single spaces, in UTF-8 bytes. A test item of m bytes may differ from a
-passage by an edit distance of up to k = floor(error_rate * m), in bytes (0 for items of under `least_fuzzy` bytes, by
-default none). It is split into k + 1 pieces: at least one of them is in the passage unchanged. One Aho-Corasick automaton finds the pieces of all items
+Texts are compared as their lower-case words with single spaces and a space at either end, in UTF-8 bytes. A test item of m
+bytes, without those at its ends, may differ from a passage by an edit distance of up to k = floor(error_rate * m), in bytes.
+The spaces at its ends count as bytes to be matched, so short items are found as whole words only. The item
+is split into k + 1 pieces: at least one of them is in the passage unchanged. One Aho-Corasick automaton finds the pieces of all items
 in a single run over each whole text. The pieces are leaves of a binary tree whose nodes divide the budget (k = left +
 right + 1), so a hit climbs from piece to item: each node is verified by Myers' bit-parallel distance around the hit, and most
-chance hits end after a node of two pieces. The search is exact: every passage within the budget is found.
+chance hits end after a node of two pieces. Where that would cost more than it saves, as in texts that repeat an item,
+one run of Myers' algorithm goes over the merged surroundings of all hits. The search is exact: every passage within the budget is found.
 
 Items come to the driver and reach the executors in groups of at most `pieces_per_pass` pieces, with a pass over the
 documents for each group, so what is broadcast is bounded however many items there are.
 
 Defined cases: null, empty and word-less texts and items match nothing. Rows without an id pass through `clean` by their
-text alone and are left out of `matches`. Repeated rows count once in `matches`. Items of equal text are all reported.
+text alone and are left out of `matches`. Repeated rows count once in `matches`. Items of equal text are all reported, and of
+several passages of one item the least distance. Very long texts are searched whole, in time about linear in their length. Empty
+tables match nothing. Other columns, whatever their names, pass through `clean` and are ignored by `matches`.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm._shared import require
+from facetry.llm._shared import in_arrow, require
 from facetry.llm._text import WORD, chunks
 
 
@@ -59,8 +63,8 @@ class Pattern:
             for k, c in enumerate(text[lo:hi]):
                 self.masks[c] = self.masks.get(c, 0) | 1 << k
 
-    def distance(self, text: str) -> int:
-        """Least edit distance between this pattern and any part of the text (Myers 1999, on one integer of as many bits as the pattern has bytes)."""
+    def distance(self, text: str, enough: int = 0) -> int:
+        """Least edit distance between this pattern and any part of the text, or the first found of at most `enough` (Myers 1999, on one integer of as many bits as the pattern has bytes)."""
         m = self.size
         full, top = (1 << m) - 1, 1 << (m - 1)
         plus, minus, score, best, masks = full, 0, m, m, self.masks.get
@@ -76,6 +80,8 @@ class Pattern:
                 score -= 1
                 if score < best:
                     best = score
+                    if best <= enough:
+                        return best
             up = (up << 1) & full
             plus = ((down << 1) & full) | (full & ~(xv | up))
             minus = up & xv
@@ -105,36 +111,89 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str, int]]):
         """items: id, normalised text, budget."""
         found: dict[str, list[tuple[int, Pattern]]] = {}
-        for item, text, budget in items:
+        for number, (_, text, budget) in enumerate(items):
+            text = f" {text} "
             for leaf in pieces(text, budget):
-                found.setdefault(text[leaf.lo : leaf.hi], []).append((item, leaf))
+                found.setdefault(text[leaf.lo : leaf.hi], []).append((number, leaf))
+        self.items = [i for i, _, _ in items]
+        self.owners = list(found.values())
         self.automaton = ahocorasick.Automaton()
-        for piece, owners in found.items():
-            self.automaton.add_word(piece, (len(piece), owners))
+        for k, piece in enumerate(found):
+            self.automaton.add_word(piece, (k, len(piece)))
         self.automaton.make_automaton()
 
-    def matches(self, text: str) -> dict[int, int]:
-        """Item -> least distance of any of its passages within the budget."""
+    def matches(self, text: str, any_will_do: bool = False) -> dict[int, int]:
+        """Item -> least distance of any of its passages within the budget; with `any_will_do` at most one item, with some distance within."""
         best: dict[int, int] = {}
-        checked: set[tuple[int, int, int]] = set()
-        for end, (length, owners) in self.automaton.iter(text):
-            begin = end + 1 - length
-            for item, leaf in owners:
-                at = begin - leaf.lo  # where the item begins, but for insertions and deletions
-                node, distance = leaf, 0
-                while distance is not None and node.parent is not None:
-                    node = node.parent
-                    key = (id(node), at, 0)
-                    if key in checked:
-                        distance = None
+        if not text:
+            return best
+        text = f" {text} "
+        begins: dict[int, list[int]] = {}
+        for end, (piece, length) in self.automaton.iter(text):
+            begins.setdefault(piece, []).append(end + 1 - length)
+        hits: dict[int, list[tuple[Pattern, list[int]]]] = {}
+        for piece, at in begins.items():
+            for number, leaf in self.owners[piece]:
+                hits.setdefault(number, []).append((leaf, at))
+        for number, found in hits.items():
+            distance = self._least(text, found, any_will_do)
+            if distance is not None:
+                item = self.items[number]
+                best[item] = min(distance, best.get(item, distance))
+                if any_will_do:
+                    break
+        return best
+
+    @staticmethod
+    def _least(text: str, found: list[tuple[Pattern, list[int]]], any_will_do: bool) -> int | None:
+        """Least distance of one item, None beyond its budget."""
+        root = found[0][0]
+        while root.parent is not None:
+            root = root.parent
+        if not root.budget:
+            return 0
+        best, room = None, len(text)  # bytes that may be verified hit by hit before one run over all is cheaper
+        if 12 * sum(len(at) for _, at in found) <= room:
+            checked: set[tuple[int, int]] = set()
+            for leaf, begins in found:
+                for begin in begins:
+                    at = begin - leaf.lo  # where the item begins, but for insertions and deletions
+                    node, distance = leaf, 0
+                    while distance is not None and node.parent is not None:
+                        node = node.parent
+                        if (id(node), at) in checked:
+                            distance = None
+                            break
+                        checked.add((id(node), at))
+                        k = node.budget
+                        room -= node.size + 2 * k
+                        distance = node.distance(text[max(0, at + node.lo - k) : at + node.hi + k], k if any_will_do else 0)
+                        if distance > k:
+                            distance = None
+                    if distance is not None:
+                        best = distance if best is None else min(best, distance)
+                        if any_will_do or not best:
+                            return best
+                    if room < 0:
                         break
-                    checked.add(key)
-                    k = node.budget
-                    distance = node.distance(text[max(0, at + node.lo - k) : at + node.hi + k])
-                    if distance > k:
-                        distance = None
-                if distance is not None and distance < best.get(item, 1 << 60):
-                    best[item] = distance
+                if room < 0:
+                    break
+            else:
+                return best
+        n, k = len(text), root.budget
+        change = np.zeros(n + 1, dtype=np.int64)
+        for leaf, begins in found:
+            at = np.array(begins) - leaf.lo
+            change += np.bincount(np.clip(at - k, 0, n), minlength=n + 1)
+            change -= np.bincount(np.clip(at + root.size + k, 0, n), minlength=n + 1)
+        inside = np.concatenate([[False], np.cumsum(change[:n]) > 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            distance = root.distance(text[a:b], k if any_will_do else 0)
+            if distance <= k:
+                best = distance if best is None else min(best, distance)
+                if any_will_do or not best:
+                    break
         return best
 
 
@@ -150,7 +209,7 @@ def _matcher(shared) -> Matcher:
     return _built[name]
 
 
-def _groups(benchmark: DataFrame, item_col: str, text_col: str, error_rate: float, least_fuzzy: int, pieces_per_pass: int) -> list[list[tuple[int, str, int]]]:
+def _groups(benchmark: DataFrame, item_col: str, text_col: str, error_rate: float, pieces_per_pass: int) -> list[list[tuple[int, str, int]]]:
     rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).dropna().distinct().toLocalIterator()
     groups: list[list[tuple[int, str, int]]] = []
     room = 0
@@ -158,7 +217,7 @@ def _groups(benchmark: DataFrame, item_col: str, text_col: str, error_rate: floa
         plain = normalise(text)
         if not plain:
             continue
-        budget = int(error_rate * len(plain)) if len(plain) >= least_fuzzy else 0
+        budget = int(error_rate * len(plain))
         if room <= budget:
             groups.append([])
             room = pieces_per_pass
@@ -174,7 +233,7 @@ def _check(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
         raise ValueError("error_rate must be in [0, 0.5)")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, least_fuzzy: int = 0, pieces_per_pass: int = 200_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, pieces_per_pass: int = 200_000) -> DataFrame:
     """(doc_id, item_id, distance): every item that occurs in a document within its budget, with the least distance."""
     _check(docs, benchmark, id_col, text_col, item_col, item_text, error_rate)
     spark = docs.sparkSession
@@ -194,13 +253,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
         return run
 
-    parts = [slim.mapInArrow(finder(spark.sparkContext.broadcast((uuid.uuid4().hex, g))), "doc_id long, item_id long, distance int") for g in _groups(benchmark, item_col, item_text, error_rate, least_fuzzy, pieces_per_pass)]
+    parts = [in_arrow(slim, finder(spark.sparkContext.broadcast((uuid.uuid4().hex, g))), "doc_id long, item_id long, distance int") for g in _groups(benchmark, item_col, item_text, error_rate, pieces_per_pass)]
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, distance int")
     return reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, least_fuzzy: int = 0, pieces_per_pass: int = 200_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.1, pieces_per_pass: int = 200_000) -> DataFrame:
     """`docs` without the rows that hold an item; columns and other rows stay as they are."""
     _check(docs, benchmark, id_col, text_col, item_col, item_text, error_rate)
     place = docs.columns.index(text_col)
@@ -213,11 +272,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                 only = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
                 for first, _, data, offsets in chunks(only, "text"):
                     for k, text in enumerate(normalised(data, offsets), first):
-                        keep[k] = not matcher.matches(text)
+                        keep[k] = not matcher.matches(text, any_will_do=True)
                 yield batch.filter(pa.array(keep))
 
         return run
 
-    for group in _groups(benchmark, item_col, item_text, error_rate, least_fuzzy, pieces_per_pass):
-        docs = docs.mapInArrow(filtered(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, group))), docs.schema)
+    for group in _groups(benchmark, item_col, item_text, error_rate, pieces_per_pass):
+        docs = in_arrow(docs, filtered(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, group))), docs.schema)
     return docs

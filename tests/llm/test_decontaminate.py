@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,8 +30,10 @@ def test_myers_equals_dynamic_programming(pattern, text):
 @given(st.text("ab ", min_size=6, max_size=24), st.integers(0, 4), st.text("ab ", max_size=60))
 def test_search_is_exact(item, budget, text):
     budget = min(budget, len(item) - 1)
-    want = within(item, text)
-    assert D.Matcher([(1, item, budget)]).matches(text) == ({1: want} if want <= budget else {})
+    want = within(f" {item} ", f" {text} ") if text else 99
+    matcher = D.Matcher([(1, item, budget)])
+    assert matcher.matches(text) == ({1: want} if want <= budget else {})
+    assert bool(matcher.matches(text, any_will_do=True)) == (want <= budget)
     leaves = D.pieces(item, budget)
     assert len(leaves) == budget + 1 and "".join(item[p.lo : p.hi] for p in leaves) == item
 
@@ -58,8 +61,9 @@ def test_edited_passages(spark):
     for k, t in items:
         t = D.normalise(t)
         for i, x in docs:
-            m = D.Matcher([(k, t, int(0.1 * len(t)))]).matches(D.normalise(x))
-            brute.update({(i, k): v for v in m.values()})
+            least = D.Pattern(f" {t} ", 0, len(t) + 2, 1, None).distance(f" {D.normalise(x)} ")
+            if least <= int(0.1 * len(t)):
+                brute[i, k] = least
     assert got == brute and want <= set(got)
     assert {(r.doc_id, r.item_id): r.distance for r in D.matches(d, b, pieces_per_pass=50).collect()} == got
     kept = {r.doc_id for r in D.clean(d, b, pieces_per_pass=50).collect()}
@@ -73,6 +77,21 @@ def test_short_items_have_a_budget(spark):
     assert [r.doc_id for r in D.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "concatenate the article"), (2, "a cat"), (3, "The. Art!"), (4, "banana")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "cat"), (2, "the art"), (3, "a")], "item_id long, text string")
+    assert sorted(tuple(r) for r in D.matches(docs, bench).collect()) == [(2, 1, 0), (2, 3, 0), (3, 2, 0)]
+
+
+def test_repeated_text_takes_linear_time():
+    item = D.normalise("again " * 200)
+    matcher = D.Matcher([(1, item, len(item) // 10), (2, item.replace("again again", "again anew", 3), 100)])
+    began = time.time()
+    assert matcher.matches(D.normalise("again " * 17_000 + "and once more"))[1] == 0
+    assert matcher.matches(D.normalise("agaim again again again ego " * 4_000)) == {}
+    assert time.time() - began < 20
+
+
 def test_edge_cases(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     rows = [(1, None), (2, ""), (3, "..."), (4, f"A. {item.upper()}!"), (4, f"A. {item.upper()}!"), (None, item), (5, "lorem " * 100_000 + item.replace("quick", "quikc") + " ipsum" * 50_000), (6, "the quick brown fox")]
