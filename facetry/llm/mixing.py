@@ -3,37 +3,47 @@
 Slot i of the schedule has the golden-ratio point frac(i * 0.6180339887498949). The cumulative target weights map it to a source, so
 that every prefix of the schedule holds each source to within a few slots of its share. A source's documents, shuffled by the
 hash of their ids, are cut into blocks of `block_tokens` tokens: a document belongs to the block in which its first token
-falls. The r-th slot of a source takes its block r. The schedule ends at the first slot whose source has no block left, so
-no document comes twice and the weights hold throughout; documents of later blocks are surplus and are left out.
+falls. The r-th slot of a source takes its block r. Slots of a source that has run out of blocks stay empty, so the others go on in
+their proportions; the schedule ends where the sources that ran out have more than `tolerance` of the weight, as
+the target can't be held beyond. No document comes twice; documents of later blocks are surplus and are left out.
 Weights default to tokens ** `temperature` of each source, which lowers the largest sources.
 
 Running token sums need no window over a whole source: each source is cut into 4096 ranges of hashes, whose totals
-give every range its offset.
+give every range its offset. Nor do the slots: ranges of them are counted by source, and the counts give the offsets.
 
 Defined cases: a token is a run of characters other than blanks, tabs, line ends and form feeds; null and empty texts have none and still have a
-block. A null source is the source ''. Rows without an id are scheduled like others. Repeated rows are scheduled each. A
-source of weight 0, or absent from given weights, is left out; a given source without documents ends the schedule at its first slot.
+block. A text longer than a block is whole in the block of its first token, and the blocks that it covers besides are empty. A null
+source is the source ''. Rows without an id are scheduled like others. Repeated rows are scheduled each; documents of equal hash go by
+the hash of their text, then by tokens. A source of weight 0, or absent from given weights, is left out; a given source without
+documents has run out from its first slot on. An empty table has an empty schedule. Extra columns, whatever their names, pass
+through `keep_scheduled` and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm._shared import require, sized, written
+from facetry.llm._shared import in_arrow, own_name, require, sized, written
 
 GOLDEN = 0.6180339887498949
+#: Slots are ranked in ranges of so many.
+SLOT_BITS = 16
 
 
 def n_tokens(text) -> F.Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("long")
 
 
-def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.7, block_tokens: int = 20_000, seed: str = "mix") -> DataFrame:
+def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.7, tolerance: float = 0.1, block_tokens: int = 20_000, seed: str = "mix") -> DataFrame:
     """(doc_id, source, n_tokens, block, slot) of every row; slot is null where it is surplus."""
     require(docs, id_col, text_col, source_col)
-    if block_tokens < 1:
-        raise ValueError("block_tokens must be positive")
+    if block_tokens < 1 or not 0 <= tolerance < 1:
+        raise ValueError("block_tokens must be positive, tolerance in [0, 1)")
     spark = docs.sparkSession
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
@@ -58,23 +68,48 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     total = sum(share.values())
     if not total or not blocks:
         return placed.select("doc_id", "source", "n_tokens", "block", F.lit(None).cast("long").alias("slot"))
+    names = sorted(s for s in share if share[s] > 0)
     lows, low = [], 0.0
-    for s in sorted(share):
-        lows.append((s, low, low + share[s] / total, blocks.get(s, 0)))
+    for s in names:
+        lows.append(low)
         low += share[s] / total
-    lows[-1] = (*lows[-1][:2], 2.0, lows[-1][3])
-    # Enough slots for the scarcest source to run out: its count strays from its share by less than the margin.
-    enough = min((n + 10.0) / (high - low) for _, low, high, n in ((s, a, min(b, 1.0), n) for s, a, b, n in lows) if high > low)
-    ranges = spark.createDataFrame(lows, "source string, low double, high double, n long")
-    point = F.col("i") * F.lit(GOLDEN)
-    points = spark.range(int(enough) + 1000).select(F.col("id").alias("i")).select("i", (point - F.floor(point)).alias("u"))
-    slots = points.join(sized(ranges, len(lows), 100), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("i", "source", "n")
-    ranked = written(slots.select("i", "source", "n", (F.row_number().over(Window.partitionBy("source").orderBy("i")) - 1).cast("long").alias("block")))
-    end = ranked.where("block >= n").agg(F.min("i").alias("end"))
-    used = ranked.join(F.broadcast(end), F.col("end").isNull() | (F.col("i") < F.col("end"))).select("source", "block", F.col("i").alias("slot"))
+    # A source runs out before its share of slots passes its blocks by a margin; the schedule ends at the latest where that holds for enough weight.
+    held, enough = 0.0, 0.0
+    for until, part in sorted(((blocks.get(s, 0) + 10.0) / (share[s] / total), share[s] / total) for s in names):
+        held, enough = held + part, until
+        if held > tolerance + 1e-9:
+            break
+    slots = in_arrow(spark.range(int(enough) + 1000), _sources(np.array(lows), names), "slot long, source string")
+    part = F.shiftright("slot", SLOT_BITS)
+    counts = slots.groupBy("source", part.alias("part")).count()
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("source", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy("slot")) - 1
+    sizes = spark.createDataFrame([(s, blocks.get(s, 0)) for s in names], "source string, n long")
+    ranked = slots.withColumn("part", part).withColumn("rank", rank).join(sized(offsets, (int(enough) >> SLOT_BITS) * len(names) + len(names), 60), ["source", "part"]).join(sized(sizes, len(names), 60), "source")
+    ranked = written(ranked.select("slot", "source", "n", (F.col("offset") + F.col("rank")).alias("block")))
+    out_at = sorted((r.slot, share[r.source]) for r in ranked.where("block >= n").groupBy("source").agg(F.min("slot").alias("slot")).collect())
+    held, end = 0.0, int(enough) + 1000
+    for slot, weight in out_at:
+        held += weight
+        if held > tolerance * total:
+            end = slot
+            break
+    used = ranked.where((F.col("block") < F.col("n")) & (F.col("slot") < end)).select("source", "block", "slot")
     return placed.join(used, ["source", "block"], "left").select("doc_id", "source", "n_tokens", "block", "slot")
 
 
+def _sources(lows: np.ndarray, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(names, pa.string())
+        for batch in batches:
+            point = batch.column("id").to_numpy() * GOLDEN
+            at = np.searchsorted(lows, point - np.floor(point), side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("id"), table.take(pa.array(at))], names=["slot", "source"])
+
+    return run
+
+
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, source, n_tokens, block, slot) of the scheduled documents."""
     return schedule(docs, **params).where("slot is not null")
@@ -88,8 +123,9 @@ def keep_scheduled(docs: DataFrame, **params) -> DataFrame:
     if params.get("weights") is None:
         wordless = [r.source for r in plan.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens = 0").collect()]
         stays = stays | F.col("source").isin(wordless)
-    surplus = written(plan.where("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays")).where("not stays").select(F.col("doc_id").alias("__surplus")))
-    return docs.join(sized(surplus, surplus.count(), 40), F.col(id_col).cast("long") == F.col("__surplus"), "left_anti")
+    gone = own_name(docs, "surplus")
+    surplus = written(plan.where("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays")).where("not stays").select(F.col("doc_id").alias(gone)))
+    return docs.join(sized(surplus, surplus.count(), 40), docs[id_col].cast("long") == surplus[gone], "left_anti")
 
 
 ORACLE_SQL = f"""
@@ -108,7 +144,12 @@ points as (
   select i, i * {GOLDEN}::double - floor(i * {GOLDEN}::double) as u from (select range as i from range((select cast(sum(n) * 30 + 5000 as bigint) from totals)))),
 slots as (
   select i, source, n, row_number() over (partition by source order by i) - 1 as block from points join ranges on u >= low and u < high),
+empty as (
+  select min(i) as i, share from slots join totals using (source) where block >= slots.n group by source, share),
+held as (
+  select i, sum(share) over (order by i) as held from empty),
 used as (
-  select source, block, i as slot from slots where i < (select coalesce(min(i), 9223372036854775807) from slots where block >= n))
+  select source, block, i as slot from slots
+  where block < n and i < (select coalesce(min(i), 9223372036854775807) from held where held > 0.1 * (select sum(share) from totals)))
 select doc_id, source, n_tokens, block, slot from placed join used using (source, block)
 """

@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op8_secret_scan": secrets.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_secret_scan": secrets.ORACLE_SQL, "op9_sharding": sharding.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     pairs = table.where("n0 + n1 > 0").select("v", "w", "n0", "n1")
     ones = pairs.agg(*(F.count(F.when(F.col(f"n{c}") == k, 1)).alias(f"o{c}{k}") for c in (0, 1) for k in (1, 2))).first()
     before = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
-    both = pairs.join(sized(special, len(chosen), 40), "w", "left").join(sized(before, before.count(), 40), "v")
+    both = pairs.join(sized(special, len(chosen), 40), "w", "left").join(sized(before, before.count(), 100), "v")
     act = [F.col(f"c{c}") * F.coalesce(F.col(f"p{c}"), F.lit(float(gamma[c]))) for c in (0, 1)]
     total, over = F.col("n0") + F.col("n1"), []
     for c in (0, 1):
