@@ -1,21 +1,23 @@
-"""Approximate nearest neighbours of all rows: inverted multi-index.
+"""Approximate nearest neighbours: inverted multi-index.
 
 Each vector is cut in two halves, and each half is quantised by a codebook of its own (k-means on a hash sample of
 `train_rows` rows a centroid). A pair of centroids is a cell, whose list holds its vectors. A query reads the cells in order of summed
 distance of its halves to the two centroids, by a heap over the two sorted lists of distances, until it has read a budget
 of entries, and reranks them by exact distance. The budget is calibrated: `calibration` rows of least hash are compared with all vectors, and
-the budget is the least that reads a share of `recall` of their true neighbours.
+the budget is the least that reads a share of `recall` of their true neighbours. Every row is indexed; queries are the rows
+whose id is divisible by `query_every`.
 
-Cells are packed into tiles of about `tile_rows` entries. A query goes once to each tile that it reads, with a bitmap of its cells
-there, in chunks of `query_rows` queries; a task holds one tile and one chunk. Equal vectors are one entry, so a hot vector
-costs no more than any other; its rows are listed again in the result.
+Cells are packed into tiles of about `tile_rows` entries, and a cell of more is spread over several. A query goes once to each tile that
+it reads, with a bitmap of its cells there, in chunks of `query_rows` queries; a task holds one tile and one chunk, and entries go to
+those chunks only that read their tile. Equal vectors are one entry, so a hot vector costs no more than any other; its rows are
+listed again in the result.
 
-Centroids a half follow the number of vectors, about sqrt(vectors / `cell_rows`), up to `max_centroids`, so what the executors get of the
-index (two codebooks, one count a cell) is bounded; beyond that cells grow.
+Centroids a half follow the number of vectors, about sqrt(vectors / `cell_rows`), up to `max_centroids`. That bounds what the executors get
+of the index (two codebooks, two numbers a cell); beyond it cells hold more rows, and the budget is calibrated as ever.
 
 Defined cases: rows whose id or vector is null, whose vector has another length than most, or a null or not finite component are left out.
 Of several vectors of one id the least in array order counts. A row is no neighbour of itself. Equal distances go by id. With fewer
-than k others a row has fewer neighbours. Extra columns are ignored.
+than k others a row has fewer neighbours. Very long vectors are compared whole. An empty table has no neighbours. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm._shared import require, written
+from facetry.llm._shared import in_arrow, require, sized, written
+from facetry.llm._text import mix
 
 
 def kmeans(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -94,7 +97,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = batch.column("v")
         flat = np.asarray(v.flatten().to_numpy(zero_copy_only=False), dtype=np.float32)
         dim = len(flat) // max(1, len(v))
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([x.tobytes() for x in flat.reshape(len(v), dim)], pa.binary()), batch.column("ids")], names=["rep", "v", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in flat.reshape(len(v), dim)], pa.binary())], names=["id", "v"])
 
 
 def _in_cells(shared, dim: int):
@@ -150,11 +153,30 @@ def _exact(shared, dim: int, k: int):
     return run
 
 
+class Tiles:
+    """Where each cell lies: its first tile, its number of tiles, more than one for a cell of over `rows` entries, and its place in a tile."""
+
+    def __init__(self, counts: np.ndarray, rows: int):
+        self.parts = np.maximum(1, -(-counts // rows))
+        small = self.parts == 1
+        of_small = np.where(small, counts, 0)
+        tile = (np.cumsum(of_small) - of_small) // rows
+        here = np.flatnonzero(small)
+        self.first, self.place = tile.copy(), np.zeros(len(counts), np.int64)
+        if len(here):
+            self.place[here] = np.arange(len(here)) - np.searchsorted(tile[here], tile[here])
+        extra = np.where(small, 0, self.parts)
+        self.first[~small] = (int(tile[here].max()) + 1 if len(here) else 0) + (np.cumsum(extra) - extra)[~small]
+
+    def of(self, cell: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        return self.first[cell] + (mix(rep.view(np.uint64)) % self.parts[cell].astype(np.uint64)).astype(np.int64)
+
+
 def _routed(shared, dim: int):
     """A row for each query and each tile that it reads, with the bitmap of its cells there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, counts, tile_of, place_of, budget, chunks = shared.value
+        one, two, counts, tiling, budget, chunks = shared.value
         table = counts.tolist()
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
@@ -164,7 +186,9 @@ def _routed(shared, dim: int):
                 rows, tiles, maps = [], [], []
                 for r in range(len(ids)):
                     cells = np.array(traverse(d1[r], d2[r], table, budget), dtype=np.int64)
-                    tile, place = tile_of[cells], place_of[cells]
+                    parts = tiling.parts[cells]
+                    tile = np.repeat(tiling.first[cells] - np.cumsum(parts) + parts, parts) + np.arange(parts.sum())
+                    place = np.repeat(tiling.place[cells], parts)
                     order = np.argsort(tile, kind="stable")
                     tile, place = tile[order], place[order]
                     begin = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
@@ -174,8 +198,8 @@ def _routed(shared, dim: int):
                         rows.append(r)
                         tiles.append(int(tile[b]))
                         maps.append(np.packbits(bits).tobytes())
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int32()), pa.array((ids[rows] % chunks).astype(np.int32), pa.int32()), pa.array(ids[rows], pa.int64()), raw.take(at), pa.array(maps, pa.binary())], names=["tile", "chunk", "rep", "v", "bits"])
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int32()), pa.array((mix(ids[rows].view(np.uint64)) % np.uint64(chunks)).astype(np.int32), pa.int32()), pa.array(ids[rows], pa.int64()), raw.take(at), pa.array(maps, pa.binary())], names=["tile", "chunk", "rep", "v", "bits"])
 
     return run
 
@@ -210,11 +234,11 @@ def _reranked(dim: int, k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, recall: float = 0.94, calibration: int = 400, train_rows: int = 128, cell_rows: int = 64, max_centroids: int = 1024, tile_rows: int = 8192, query_rows: int = 32768) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest rows of every row by Euclidean distance; ranks count from 1."""
+def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 1, k: int = 10, recall: float = 0.94, calibration: int = 400, train_rows: int = 128, cell_rows: int = 64, max_centroids: int = 1024, tile_rows: int = 8192, query_rows: int = 32768) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest rows of every query by Euclidean distance; ranks count from 1."""
     require(vectors, id_col, vector_col)
-    if min(k, calibration, train_rows, cell_rows, max_centroids, tile_rows, query_rows) < 1 or not 0 < recall <= 1:
-        raise ValueError("k, calibration and the sizes must be positive, recall in (0, 1]")
+    if min(query_every, k, calibration, train_rows, cell_rows, max_centroids, tile_rows, query_rows) < 1 or not 0 < recall <= 1:
+        raise ValueError("query_every, k, calibration and the sizes must be positive, recall in (0, 1]")
     spark = vectors.sparkSession
     context = spark.sparkContext
     schema = "vec_id long, rank int, neighbour_id long, distance double"
@@ -227,9 +251,10 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     dim = lengths.dim
     # -0.0 and 0.0 are one value: adding 0.0 makes both the same bytes.
     single = valid.where(F.size("v") == dim).groupBy("id").agg(F.min(F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).alias("v"))
-    classes = single.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids")
-    classes = written(classes.mapInArrow(_packed, "rep long, v binary, ids array<long>"))
-    n = classes.count()
+    single = written(in_arrow(single, _packed, "id long, v binary"))
+    classes = written(single.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
+    asked = single.where(F.pmod("id", F.lit(query_every)) == 0).join(classes, "v").select(F.col("id").alias("vec_id"), "rep")
+    n, n_queries = classes.count(), -(-single.count() // query_every)
     half = dim // 2
     size = int(min(max_centroids, max(1, round((n / cell_rows) ** 0.5))))
     hashed = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
@@ -239,38 +264,45 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         sample = classes.select("rep", "v").orderBy(hashed, "rep").limit(1).toPandas()
     train = np.frombuffer(b"".join(map(bytes, sample.v)), dtype=np.float32).reshape(len(sample), dim).astype(np.float64)
     one, two = kmeans(train[:, :half], size), kmeans(train[:, half:], size)
-    entries = written(classes.select("rep", "v").mapInArrow(_in_cells(context.broadcast((one, two)), dim), "rep long, v binary, cell int"))
+    entries = written(in_arrow(classes.select("rep", "v"), _in_cells(context.broadcast((one, two)), dim), "rep long, v binary, cell int"))
     counts = np.zeros(len(one) * len(two), dtype=np.int64)
     for r in entries.groupBy("cell").count().toLocalIterator():
         counts[r.cell] = r["count"]
     budget = _budget(entries, one, two, counts, dim, k, recall, calibration)
-    tile_of = (np.cumsum(counts) - counts) // tile_rows
-    first = np.searchsorted(tile_of, tile_of)
-    place_of = np.arange(len(counts)) - first
-    chunks = max(1, -(-n // query_rows))
-    shared = context.broadcast((one, two, counts.reshape(len(one), len(two)), tile_of, place_of, budget, chunks))
-    routed = entries.select("rep", "v").repartition(F.col("rep")).mapInArrow(_routed(shared, dim), "tile int, chunk int, rep long, v binary, bits binary")
-    placed = entries.mapInArrow(_tiles(shared), "tile int, place int, rep long, v binary").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    chunks = max(1, -(-n_queries // query_rows))
+    shared = context.broadcast((one, two, counts.reshape(len(one), len(two)), Tiles(counts, tile_rows), budget, chunks))
+    queries = entries.select("rep", "v").join(asked.select("rep").distinct(), "rep", "left_semi").repartition(F.col("rep"))
+    routed = written(in_arrow(queries, _routed(shared, dim), "tile int, chunk int, rep long, v binary, bits binary"))
+    read = routed.select(F.col("tile").alias("reads"), F.col("chunk").alias("by")).distinct()
+    placed = in_arrow(entries, _tiles(shared), "tile int, place int, rep long, v binary").join(sized(read, (n // tile_rows + 1) * chunks * 2, 40), F.col("tile") == F.col("reads")).select("tile", F.col("by").alias("chunk"), "place", "rep", "v")
     both = routed.groupBy("tile", "chunk").cogroup(placed.groupBy("tile", "chunk"))
     found = both.applyInArrow(lambda q, e: _reranked(dim, k)(q, e), FOUND)
     ranked = found.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "near"))), 1, k).alias("near"))
-    # Rows: equal vectors are at distance 0 of each other, others stand for all their ids. k + 1 of a class are enough for anyone.
-    members = classes.select("rep", F.explode(F.slice("ids", 1, k + 1)).alias("neighbour_id"))
+    # Rows: equal vectors are at distance 0 of each other, others stand for all their ids. The k + 1 least ids of a class are enough for anyone.
     lists = ranked.select("rep", F.explode("near").alias("x")).select("rep", F.col("x.near").alias("near"), F.col("x.dist").alias("dist"))
-    lists = lists.unionByName(classes.select("rep", F.col("rep").alias("near"), F.lit(0.0).alias("dist")))
-    full = lists.join(members.withColumnRenamed("rep", "near"), "near").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "neighbour_id"))), 1, k + 1).alias("near"))
-    rows = classes.select("rep", F.explode("ids").alias("vec_id")).join(full, "rep")
+    lists = lists.unionByName(asked.select("rep").distinct().select("rep", F.col("rep").alias("near"), F.lit(0.0).alias("dist")))
+    full = lists.join(_members(single, classes, k + 1), "near").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "neighbour_id"))), 1, k + 1).alias("near"))
     own = F.slice(F.filter("near", lambda x: x.neighbour_id != F.col("vec_id")), 1, k)
-    out = rows.select("vec_id", F.posexplode(own).alias("p", "x"))
+    out = asked.join(full, "rep").select("vec_id", F.posexplode(own).alias("p", "x"))
     return out.select("vec_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.neighbour_id").alias("neighbour_id"), F.sqrt("x.dist").alias("distance"))
 
 
+def _members(single: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """(near, neighbour_id): the `most` least ids of each class. A class of many rows is cut by hash first, so no task ranks all of them."""
+    several = single.join(classes.where("rows > 1").select("v", "rep"), "v").select("rep", "id", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt"))
+    for by in (["rep", "salt"], ["rep"]):
+        several = several.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("place") <= most)
+    alone = classes.where("rows = 1").select(F.col("rep").alias("near"), F.col("rep").alias("neighbour_id"))
+    return alone.unionByName(several.select(F.col("rep").alias("near"), F.col("id").alias("neighbour_id")))
+
+
 def _tiles(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, _, tile_of, place_of, _, _ = shared.value
+        tiling = shared.value[3]
         for batch in batches:
             cell = batch.column("cell").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(tile_of[cell], pa.int32()), pa.array(place_of[cell], pa.int32()), batch.column("rep"), batch.column("v")], names=["tile", "place", "rep", "v"])
+            tile = tiling.of(cell, batch.column("rep").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), pa.array(tiling.place[cell], pa.int32()), batch.column("rep"), batch.column("v")], names=["tile", "place", "rep", "v"])
 
     return run
 
@@ -281,7 +313,7 @@ def _budget(entries: DataFrame, one: np.ndarray, two: np.ndarray, counts: np.nda
     names = sample.rep.to_numpy()
     q = np.frombuffer(b"".join(map(bytes, sample.v)), dtype=np.float32).reshape(len(names), dim).astype(np.float64)
     shared = entries.sparkSession.sparkContext.broadcast((names, q))
-    exact = entries.mapInArrow(_exact(shared, dim, k), FOUND)
+    exact = in_arrow(entries, _exact(shared, dim, k), FOUND)
     top = exact.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "near"))), 1, k).alias("x")).select("rep", F.explode("x.near").alias("near"))
     cells = top.join(entries.select(F.col("rep").alias("near"), "cell"), "near").select("rep", "cell").toPandas()
     row = {r: i for i, r in enumerate(names.tolist())}

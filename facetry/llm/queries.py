@@ -18,7 +18,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+    """Every row whose id is divisible by 50, against all rows."""
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), query_every=50)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

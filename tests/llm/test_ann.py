@@ -40,6 +40,27 @@ def test_whole_budget_equals_brute_force_with_ties(spark):
         assert [j for j, _ in got[i]] == [j for j, _ in want] and np.allclose([d for _, d in got[i]], [d for _, d in want], atol=1e-6)
 
 
+def test_some_rows_ask_all(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(500)] + [(1000 + i, [0.5] * 8) for i in range(300)]
+    out = ann.neighbours(frame(spark, rows), k=5, query_every=50, recall=1.0, cell_rows=8, tile_rows=40, query_rows=4, calibration=1000).toPandas()
+    want = brute(rows, 5)
+    assert set(out.vec_id) == {i for i, _ in rows if i % 50 == 0}
+    for i, g in out.groupby("vec_id"):
+        assert np.allclose(g.sort_values("rank").distance, [d for _, d in want[i]], atol=1e-6) and g.sort_values("rank").neighbour_id.tolist() == [j for j, _ in want[i]]
+
+
+def test_a_cell_of_many_entries_is_spread():
+    counts = np.array([3, 0, 25, 4, 9, 11])
+    tiles = ann.Tiles(counts, 10)
+    assert tiles.parts.tolist() == [1, 1, 3, 1, 1, 2] and len({(f + j, p) for f, n, p in zip(tiles.first, tiles.parts, tiles.place, strict=True) for j in range(n)}) == 9
+    cell = np.repeat(np.arange(6), counts)
+    spread = np.bincount(tiles.of(cell, np.arange(len(cell))))
+    assert spread.sum() == counts.sum() and spread.max() <= 20
+    of_five = set(tiles.of(np.full(100, 5), np.arange(100)).tolist())
+    assert of_five == {tiles.first[5], tiles.first[5] + 1}
+
+
 def test_traversal_is_in_order_of_summed_distance():
     rnd = np.random.default_rng(3)
     a, b, counts = rnd.random(7), rnd.random(5), rnd.integers(0, 4, (7, 5))
