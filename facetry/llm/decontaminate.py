@@ -1,8 +1,8 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Texts are compared as their lower-case words with single spaces and a space at either end, in UTF-8 bytes. A test item of m
-bytes, without those at its ends, may differ from a passage by an edit distance of up to k = floor(error_rate * m), in bytes.
-The spaces at its ends count as bytes to be matched, so short items are found as whole words only. The item
+Texts are compared as their lower-case words with single spaces, in UTF-8 bytes. A test item of m bytes may differ from a
+passage, any part of a text, by an edit distance of up to k = floor(error_rate * m), in bytes. An item so short that k is 0 has
+to be there as whole words: "cat" isn't in "concatenate". The item
 is split into k + 1 pieces: at least one of them is in the passage unchanged. One Aho-Corasick automaton finds the pieces of all items
 in a single run over each whole text. The pieces are leaves of a binary tree whose nodes divide the budget (k = left +
 right + 1), so a hit climbs from piece to item: each node is verified by Myers' bit-parallel distance around the hit, and most
@@ -112,7 +112,7 @@ class Matcher:
         """items: id, normalised text, budget."""
         found: dict[str, list[tuple[int, Pattern]]] = {}
         for number, (_, text, budget) in enumerate(items):
-            text = f" {text} "
+            text = text if budget else f" {text} "
             for leaf in pieces(text, budget):
                 found.setdefault(text[leaf.lo : leaf.hi], []).append((number, leaf))
         self.items = [i for i, _, _ in items]
