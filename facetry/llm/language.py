@@ -1,15 +1,17 @@
 """Language ID of spans: script ranges, byte models of words, Viterbi with a switching penalty.
 
-Models are trained on all documents by their language label: for each language counts of the last `ORDER` bytes of a word,
-over a Kneser-Ney backoff model of all languages together. A word's script, by the range of its first letter, narrows its
-candidates to the languages of whose words at least `least_script_share` are of that script; a word of a script that no
-language has is in `unknown`, and a word without letters is in none and takes its neighbours' language. Each remaining
-word has a log-likelihood for each candidate. Viterbi finds the labelling of the text's words with the largest sum of these, less
-`switch_penalty` for each change of language. Runs of one label are the result's spans.
-
-Defined cases: null, empty and word-less texts have one span, of `unknown` and no words. Rows without an id keep a null id.
-Repeated rows have their spans each. Equal scores go to the language first in alphabetical order, and to no change. Null labels
-train nothing; without any label all words are `unknown`. Other columns, whatever their names, are ignored.
+For each language the counts of the last `ORDER` bytes of a word, from the labelled rows of least hash, about
+`max_rows_per_language` of them, are a Kneser-Ney model over a backoff model of all documents, labelled or not, of `SHARED_ORDER`
+bytes. So what the executors get is bounded: by those rows, and by the 2 ** 24 grams of three bytes. A word's script, by the
+range of its first letter, narrows its candidates to the languages of which any document has a word of that script; a word of a
+script that no language has is in `unknown`, and a word without letters is in none and takes its neighbours' language. Each
+remaining word has a log-likelihood for each candidate. Viterbi finds the labelling of the text's words with the largest sum
+of these, less `switch_penalty` for each change of language. Runs of one label are the result's spans.
+
+Defined cases: null, empty and word-less texts have one span, of `unknown` and no words. Very long texts are labelled whole. Rows
+without an id keep a null id. Repeated rows have their spans each. Equal scores go to the language first in alphabetical order, and
+to no change. Null labels train the backoff only; without any label all words are `unknown`. An empty table has no spans. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm._kn import COUNTS, NONE, ClassModel, Counter, Shared, WordScores, collect_counts, mask
-from facetry.llm._shared import require
+from facetry.llm._kn import COUNTS, NONE, ClassModel, Counter, Shared, WordScores, collect_counts
+from facetry.llm._shared import in_arrow, require
 from facetry.llm._text import Words, chunked_words
 
-ORDER, SHARED_ORDER = 5, 4
+ORDER, SHARED_ORDER = 5, 3
 #: First code points of ranges and their scripts, in order.
 RANGES = [(0, "none"), (0x41, "latin"), (0x5B, "none"), (0x61, "latin"), (0x7B, "none"), (0xAA, "latin"), (0xAB, "none"), (0xB5, "latin"), (0xB6, "none"), (0xBA, "latin"), (0xBB, "none"), (0xC0, "latin"), (0xD7, "none"), (0xD8, "latin"), (0xF7, "none"), (0xF8, "latin"), (0x2B0, "none"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "other"), (0xB80, "tamil"), (0xC00, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "none"), (0x2C60, "latin"), (0x2C80, "other"), (0x2E00, "none"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "none"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "none"), (0xF900, "han"), (0xFB00, "other"), (0xFB50, "arabic"), (0xFE00, "none"), (0xFF21, "latin"), (0xFF3B, "none"), (0xFF41, "latin"), (0xFF5B, "none"), (0xFF66, "kana"), (0xFFA0, "none"), (0x20000, "han"), (0x30000, "other")]
 SCRIPTS = sorted({s for _, s in RANGES})
@@ -54,24 +56,28 @@ def scripts(words: Words, which: np.ndarray) -> np.ndarray:
 
 
 def _count(names: list[str]):
-    """Counts of byte grams by language (cls = its number) and of scripts (cls = -1 - its number, code = script)."""
+    """Counts of byte grams by language (cls = its number) of the rows that fit, of short ones of all rows (cls = the number of languages), and of scripts (cls = -1 - the language, code = script)."""
     number = {n: k for k, n in enumerate(names)}
     schema = pa.schema([("cls", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
-        seen = np.zeros((len(names), len(SCRIPTS)), dtype=np.int64)
+        seen = np.zeros((len(names) + 1, len(SCRIPTS)), dtype=np.int64)
         for batch in batches:
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            lang = np.array([number.get(x, len(names)) for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            fits = batch.column("fits").to_numpy(zero_copy_only=False)
             for first, past, words in chunked_words(batch, "text"):
                 of = lang[first:past][words.doc]
                 _, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
                 script = scripts(words, one)[back]
                 np.add.at(seen, (of, script), 1)
-                for c in np.unique(of).tolist():
-                    counter.add(c, words, np.flatnonzero((of == c) & (script != NO_SCRIPT)), ORDER)
+                lettered = script != NO_SCRIPT
+                counter.add(len(names), words, np.flatnonzero(lettered), SHARED_ORDER)
+                mine = lettered & fits[first:past][words.doc]
+                for c in np.unique(of[mine]).tolist():
+                    counter.add(c, words, np.flatnonzero((of == c) & mine), ORDER)
         yield from counter.batches()
-        c, s = np.nonzero(seen)
+        c, s = np.nonzero(seen[:-1])
         if len(c):
             yield pa.RecordBatch.from_arrays([pa.array(-1 - c, pa.int32()), pa.array(s, pa.int64()), pa.array(seen[c, s], pa.int64())], schema=schema)
 
@@ -83,22 +89,24 @@ class Model:
         self.names, self.kn, self.allowed = names, kn, allowed
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_script_share: float = 0.02) -> Model:
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_rows_per_language: int = 20_000) -> Model:
     require(docs, text_col, lang_col)
-    slim = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    names = sorted(r.lang for r in slim.select("lang").distinct().collect())
+    slim = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    n_of = {r.lang: r["count"] for r in slim.where("lang is not null").groupBy("lang").count().collect()}
+    names = sorted(n_of)
     if not names:
         return Model([], None, np.zeros((len(SCRIPTS), 0), bool))
-    by = collect_counts(slim.mapInArrow(_count(names), COUNTS).groupBy("cls", "code").agg(F.sum("n").alias("n")))
-    seen = np.zeros((len(names), len(SCRIPTS)))
+    share = F.lit(0)
+    for name, n in n_of.items():
+        share = F.when(F.col("lang") == name, F.lit(round(min(1.0, max_rows_per_language / n) * (1 << 20)))).otherwise(share)
+    slim = slim.select("lang", "text", (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).alias("fits"))
+    by = collect_counts(in_arrow(slim, _count(names), COUNTS).groupBy("cls", "code").agg(F.sum("n").alias("n")))
+    allowed = np.zeros((len(names), len(SCRIPTS)), bool)
     for k in range(len(names)):
-        code, n = by.get(-1 - k, NONE)
-        seen[k, code] = n
-    seen[:, NO_SCRIPT] = 0
-    allowed = (seen >= least_script_share * np.maximum(1, seen.sum(axis=1, keepdims=True))) & (seen > 0)
+        allowed[k, by.get(-1 - k, NONE)[0]] = True
+    allowed[:, NO_SCRIPT] = False
     classes = [by.get(k, NONE) for k in range(len(names))]
-    low = Counter._sum([(c & mask(SHARED_ORDER), n) for c, n in classes])
-    return Model(names, ClassModel(Shared(*low, SHARED_ORDER), classes, ORDER), allowed.T)
+    return Model(names, ClassModel(Shared(*by.get(len(names), NONE), SHARED_ORDER), classes, ORDER), allowed.T)
 
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
@@ -181,7 +189,7 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + doc)).cast(pa.int64()), pa.array(number, pa.int32()), pa.array(lang.tolist(), pa.string()), pa.array(at, pa.int32()), pa.array(length, pa.int32())], schema=schema)
 
-    return slim.mapInArrow(run, SPANS)
+    return in_arrow(slim, run, SPANS)
 
 
 def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", switch_penalty: float = 12.0) -> DataFrame:

@@ -14,7 +14,9 @@ Order is by id, and by text hash among rows of one id. The first document of a d
 of every line stays.
 
 Defined cases: null, empty and word-less texts and rows without an id stay as they are. Repeated rows of one id and text are one
-document, all of which lose the same lines. Other columns, whatever their names, pass through `clean`. Lines without words are kept.
+document, all of which lose the same lines. Very long texts are aligned whole. Ties: of equally rare lines the one of least hash stands for a
+run, of documents with equal ids the one of least text hash is the earlier. Lines without words are kept. An empty table stays empty. Other
+columns, whatever their names, pass through `clean` and are ignored by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm._shared import require, sized, written
+from facetry.llm._shared import in_arrow, measured, own_name, require, sized, written
 from facetry.llm._text import chunks, find_words, mix
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -269,22 +271,22 @@ def _changed(docs: DataFrame, id_col: str, text_col: str, block_words: int) -> D
     if block_words < 1:
         raise ValueError("block_words must be positive")
     slim = _keyed(docs, id_col, text_col)
-    seqs = written(slim.mapInArrow(_lines, "doc_id long, th long, h array<long>, n array<int>").dropDuplicates(["doc_id", "th"]))
+    seqs = written(in_arrow(slim, _lines, "doc_id long, th long, h array<long>, n array<int>").dropDuplicates(["doc_id", "th"]))
     lines = seqs.select("doc_id", "th", F.posexplode(F.arrays_zip("h", "n")).alias("pos", "x")).select("doc_id", "th", "pos", "x.h", "x.n")
     df = lines.select("doc_id", "th", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
     common = written(df.where("df > 1"))
     shared = lines.join(sized(common, common.count(), 40), "h")
     by_doc = shared.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "n", "df"))).alias("lines"))
-    runs = written(by_doc.mapInArrow(_runs(block_words), "doc_id long, th long, rare long, run long").distinct())
+    runs = written(in_arrow(by_doc, _runs(block_words), "doc_id long, th long, rare long, run long").distinct())
     me, first = F.struct("doc_id", "th"), F.struct(F.col("first.doc_id"), F.col("first.th"))
     firsts = runs.groupBy("rare", "run").agg(F.min(me).alias("first"), F.count("*").alias("n_docs")).where("n_docs > 1").drop("n_docs")
     pairs = written(runs.join(firsts, ["rare", "run"]).where(me > first).select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th")).distinct())
     earlier = seqs.select(F.col("doc_id").alias("first_id"), F.col("th").alias("first_th"), F.col("h").alias("h_first"))
     work = pairs.join(seqs, ["doc_id", "th"]).join(earlier, ["first_id", "first_th"]).select("doc_id", "th", "h", "n", "h_first")
-    gone = work.mapInArrow(_aligned(block_words), "doc_id long, th long, gone array<int>").groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = in_arrow(work, _aligned(block_words), "doc_id long, th long, gone array<int>").groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     gone = written(gone)
-    texts = slim.join(sized(gone, gone.count(), 300), ["doc_id", "th"]).select("doc_id", "th", "text", "gone")
-    return texts.mapInArrow(_without, "doc_id long, th long, deleted array<int>, text string")
+    texts = slim.join(measured(gone, F.lit(60) + 4 * F.size("gone")), ["doc_id", "th"]).select("doc_id", "th", "text", "gone")
+    return in_arrow(texts, _without, "doc_id long, th long, deleted array<int>, text string")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = 30) -> DataFrame:
@@ -294,6 +296,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = 30) -> DataFrame:
     """All of `docs`, later copies of blocks deleted from `text_col`; other columns and rows stay as they are."""
-    changed = written(_changed(docs, id_col, text_col, block_words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("text").alias("__new")).dropDuplicates(["__id", "__th"]))
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
-    return docs.join(changed, same, "left").withColumn(text_col, F.coalesce("__new", F.col(text_col))).select(*docs.columns)
+    names = [own_name(docs, n) for n in ("id", "hash", "new")]
+    changed = written(_changed(docs, id_col, text_col, block_words).select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "th", "text"), names, strict=True))).dropDuplicates(names[:2]))
+    same = (F.col(id_col).cast("long") == F.col(names[0])) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(names[1]))
+    return docs.join(changed, same, "left").withColumn(text_col, F.coalesce(F.col(names[2]), F.col(text_col))).select(*docs.columns)

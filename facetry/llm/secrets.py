@@ -11,8 +11,8 @@ Rules are Java regular expressions and stay in the JVM. A finding is the positio
 secret, never the secret.
 
 Defined cases: a null or empty text is a blob without findings; null and '' are the same blob. A null path or id is kept and gets findings
-like any other. Repeated rows are one path and version. Extra columns are ignored. A rule that no longer exists has no findings;
-an empty table or no rules give none.
+like any other. Repeated rows are one path and version; of the paths of one blob the least is read. Very long
+texts are scanned whole. Extra columns are ignored, whatever their names. A rule that no longer exists has no findings; an empty table or no rules give none.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm._shared import require, shared_dir, sized, written
+from facetry.llm._shared import measured, require, shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -113,12 +113,12 @@ def scan(files: DataFrame, ledger: Ledger, rules: list[Rule] | None = None, *, p
     blobs = versions.groupBy("blob").agg(F.min(F.struct(*inner)).alias("holder"), F.max("anchored").alias("anchored"))
     lacks = F.array_except(F.array(*map(F.lit, current)).cast("array<string>"), F.coalesce(F.col("done"), F.array().cast("array<string>")))
     unseen = written(blobs.join(done, "blob", "left").select("blob", "holder", "anchored", lacks.alias("todo")).where(F.size("todo") > 0))
-    n = unseen.where("anchored").count()
     if unseen.limit(1).count():
         # One row holds each unseen blob's text; a null path is a path too, hence <=>.
-        keys = unseen.where("anchored").select(F.col("blob").alias("__blob"), *(F.col(f"holder.{i}").alias(f"__h{i}") for i in inner), "todo")
-        match = [F.col(i).eqNullSafe(F.col(f"__h{i}")) for i in inner]
-        held = source.where(anchored(F.col("__text"), rules)).join(sized(keys, n, 160), match).where(blob_of(F.col("__text")) == F.col("__blob"))
+        keys = unseen.where("anchored").select(F.col("blob").alias("__blob"), *(F.col(f"holder.{i}").alias(f"__h{k}") for k, i in enumerate(inner)), "todo")
+        size = F.lit(120) + 24 * F.size("todo") + reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"__h{k}").cast("string")), F.lit(0)) for k in range(len(inner))], F.lit(0))
+        match = [F.col(i).eqNullSafe(F.col(f"__h{k}")) for k, i in enumerate(inner)]
+        held = source.where(anchored(F.col("__text"), rules)).join(measured(keys, size), match).where(blob_of(F.col("__text")) == F.col("__blob"))
         found = F.flatten(F.array(*(F.when(F.array_contains("todo", name), _positions(F.col("__text"), rule)).otherwise(F.array().cast(_FINDINGS)) for rule, name in zip(rules, current, strict=True))))
         fresh = held.select(F.col("__blob").alias("blob"), found.alias("found")).where(F.size("found") > 0)
         rows = fresh.select("blob", F.explode("found").alias("f")).select("blob", "f.rule", "f.version", "f.at", "f.secret_hash").distinct()

@@ -65,3 +65,88 @@ def test_edge_cases(spark):
     assert L.identified(docs.where("false")).count() == 0
     none = L.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang for r in none} == {"und"}
+
+
+def direct_scores(rows, words):
+    """log P(word | language) of each word, with plain dictionaries; rows: (text, language)."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    def grams(word, order):
+        data = b"\1" + word.encode() + b"\2"
+        return [data[max(0, e + 1 - order) : e + 1] for e in range(1, len(data))]
+
+    names = sorted({lang for _, lang in rows if lang})
+    top, shared = {n: Counter() for n in names}, Counter()
+    for x, lang in rows:
+        for w in re.findall(r"\w+", x.lower()):
+            shared.update(grams(w, L.SHARED_ORDER))
+            if lang:
+                top[lang].update(grams(w, L.ORDER))
+
+    def level(counts):
+        once, twice = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
+        d = min(0.95, max(0.3, once / (once + 2 * twice))) if once else 0.75
+        total, kinds = defaultdict(float), defaultdict(int)
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+
+        def prob(g, lower):
+            if g[:-1] not in total:
+                return lower
+            return (max(counts.get(g, 0) - d, 0) + d * kinds[g[:-1]] * lower) / total[g[:-1]]
+
+        return prob
+
+    levels, counts = [], dict(shared)
+    for k in range(L.SHARED_ORDER, 0, -1):
+        levels.append((k, level(counts)))
+        below = Counter()
+        for g, n in counts.items():
+            below[g[-(k - 1) :] if len(g) == k else g] += 1 if len(g) == k else n
+        counts = dict(below)
+    tops = [level(top[n]) for n in names]
+    out = []
+    for w in words:
+        row = np.zeros(len(names))
+        for g in grams(w, L.ORDER):
+            p = 1 / 256
+            for k, f in reversed(levels):
+                p = f(g[-k:], p)
+            row += [math.log(t(g, p)) for t in tops]
+        out.append(row)
+    return np.array(out)
+
+
+def test_word_scores_equal_a_direct_computation(spark):
+    import pyarrow as pa
+
+    from facetry.llm._kn import WordScores
+    from facetry.llm._text import find_words, raw_bytes
+
+    rnd = random.Random(5)
+    rows = [(text(rnd, lang, 20), lang) for lang in ("en", "fr", "ru") * 5] + [(text(rnd, "fr", 15), None)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    words = ["the", "whing", "eau", "привет", "unseen", "é", "a", "x1y"]
+    found = find_words(*raw_bytes(pa.array(words)))
+    got = WordScores(model.kn, lambda lp: lp, 3).score(found, np.arange(len(words)))
+    assert np.allclose(got, direct_scores(rows, words), atol=1e-9)
+
+
+def test_a_bounded_sample_keeps_all_scripts_and_the_shared_counts(spark):
+    rnd = random.Random(6)
+    rows = [(text(rnd, lang, 20), lang) for lang in ("en", "fr") * 60] + [("при вет", "en")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    some, whole = (L.fit(df, max_rows_per_language=k) for k in (10, 1000))
+    assert np.array_equal(some.allowed, whole.allowed) and some.allowed[L.SCRIPTS.index("cyrillic")].tolist() == [True, False]
+    assert np.array_equal(some.kn.shared.levels[0].n, whole.kn.shared.levels[0].n) and some.kn.tops[0].n.sum() < whole.kn.tops[0].n.sum()
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(1, "aa bb", "xx"), (2, "aa bb", "yy"), (2, "aa bb", "yy")]
+    out = L.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == 3 and {r.n_words for r in out} == {2} and len({r.lang for r in out}) == 1
+    rows = rows[:2]
+    assert {r.lang for r in L.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"xx"}

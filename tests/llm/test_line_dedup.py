@@ -102,7 +102,7 @@ def test_moved_blocks_equal_brute_force():
 def test_edge_cases(spark):
     block = "\n".join(" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
     rows = [(2, block), (2, block), (1, block + "\n?!\n"), (None, block), (3, None), (4, ""), (5, "?!\n\n"), (6, "x " * 300_000 + "\n" + block), (7, "All rights reserved."), (8, "All rights reserved.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit("clash")).withColumn("gone", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit("clash")).withColumn("gone", F.lit(1)).withColumn("__id", F.lit(2)).withColumn("__th", F.lit(3)).withColumn("__new", F.lit("x")).withColumn("ID", F.lit(4)).withColumn("hash", F.lit(5)).withColumn("new", F.lit(6))
     out = line_dedup.clean(df)
     assert out.columns == df.columns and out.count() == len(rows)
     texts = sorted((r.doc_id or -1, r.text) for r in out.where("text is not null").collect())
