@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of `docs`; the stages' results are written as Parquet in
 between. All stages but the last return the columns of `documents`; the last adds `shard`.
 
-Defined cases, as the operators' own docstrings say: null, empty and word-less texts pass every filter; of repeated rows of
-one id and text one stays; rows without an id are never near duplicates nor surplus and lie in the first shard; extra columns,
-whatever their names, pass through all stages; empty tables give empty results.
+Defined cases, as the operators' own docstrings say: null, empty and word-less texts pass every filter; very long texts are judged
+whole; of repeated rows of one id and text one stays; rows without an id are never near duplicates nor surplus and lie in the first
+shard; extra columns, whatever their names, pass through all stages, but that `shard` is replaced by the last; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from facetry.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from facetry.llm._shared import written
+from facetry.llm._shared import purge, scratch, shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages; what a stage writes for itself and its predecessor's result are deleted once its own is written."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        path = shared_dir(spark, keep=True)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path=path)
+        if before:
+            purge(spark, before)
+        before = path
     return docs
