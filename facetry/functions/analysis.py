@@ -6,7 +6,9 @@ the part after it holds a digit. There are no stop words. A null text has no ter
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +41,43 @@ def fold(text: Column) -> Column:
     return out
 
 
+@lru_cache(maxsize=1)
+def _sources() -> dict[str, str]:
+    """For each folded text of one or two letters the characters that `fold` turns into it."""
+    one = dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | dict(LONG_FOLDS)
+    found: dict[str, str] = {}
+    for code in [*range(0x41, 0xD800), *range(0xFF00, 0x10000)]:
+        c = chr(code)
+        low = "".join(one.get(x, x) for x in c.lower())
+        if low[:1].isalnum() and (low != c or len(low) > 1):
+            for key in {low, low[:1] if len(low) > 1 and not low.isalnum() else low}:
+                found[key] = found.get(key, "") + c
+    return found
+
+
+def word_pattern(word: str) -> str | None:
+    """A regular expression that finds every text of which `fold` holds the word, and few others: raw texts need no folding first. None for a word in which pairs of letters that may be one overlap."""
+    sources = _sources()
+
+    def any_of(*texts: str) -> str:
+        return "[" + "".join(re.escape(x) for x in dict.fromkeys("".join(texts))) + "]"
+
+    pairs = [i for i in range(len(word) - 1) if word[i : i + 2] in sources]
+    if any(b - a == 1 for a, b in zip(pairs, pairs[1:], strict=False)):
+        return None
+    out, i = "", 0
+    while i < len(word):
+        c = word[i]
+        if i in pairs:
+            out += f"(?:{any_of(sources[word[i : i + 2]])}|{any_of(c, sources.get(c, ''))}{any_of(word[i + 1], sources.get(word[i + 1], ''))})"
+            i += 2
+            continue
+        half = "".join(xs for pair, xs in sources.items() if i == len(word) - 1 and len(pair) == 2 and pair[0] == c)
+        out += any_of(c, sources.get(c, ""), half)
+        i += 1
+    return out
+
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -56,7 +95,7 @@ def keyword(text: Column) -> Column:
 
 
 def dutch(text: Column) -> Column:
-    """Standard terms and, behind each, its Dutch stem where that differs. For term queries: phrases need words alone."""
+    """Standard terms and, behind each, its Dutch stem where that differs."""
     from facetry.functions.stemming import dutch_tokens
 
     return F.transform(dutch_tokens(standard(text)), lambda t: t.term)
@@ -128,6 +167,21 @@ def phrase_count(tokens: Column, terms: list[str]) -> Column:
     return once(tokens, count)
 
 
+def placed_phrase_count(placed: Column, terms: list[str]) -> Column:
+    """How often the terms stand at places one after the other; `placed` is an array of (term, pos), several terms may share a place."""
+    if not terms:
+        return F.lit(0)
+
+    def count(tok: Column) -> Column:
+        starts = [F.transform(F.filter(tok, lambda x, t=t: x.term == t), lambda x, i=i: x.pos - i) for i, t in enumerate(terms)]
+        both = starts[0]
+        for s in starts[1:]:
+            both = F.array_intersect(both, s)
+        return F.size(both)
+
+    return once(placed, count)
+
+
 def haversine(lat: Column, lon: Column, to_lat: float, to_lon: float) -> Column:
     """Metres on a sphere of the mean Earth radius."""
     a = F.pow(F.sin(F.radians(lat - to_lat) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(F.lit(to_lat))) * F.pow(F.sin(F.radians(lon - to_lon) / 2), 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -10,20 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetry.functions.analysis import ANALYZERS, fold
+from facetry.functions.analysis import ANALYZERS, TOKEN, fold, positions, standard, word_pattern
 
 KINDS = ("text", "string", "set", "int", "long", "double", "numeric", "key", "facet", "geo")
 
 
 @dataclass(frozen=True)
 class Field:
-    """A column in a role. A `text` field is analysed; a `set` field too, but it counts each term once and knows no order."""
+    """A column in a role. A `text` field is analysed; a `set` field too, but it counts each term once and knows no order.
+
+    Between two values of a `text` field lie `gap` places, which a phrase can't cross; without a gap it can.
+    """
 
     kind: str = "text"
     column: str | None = None
     analyzer: str = "standard"
     hierarchical: bool = False
     stored: bool = True
+    gap: int = 0
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -32,11 +37,12 @@ class Field:
 
 @dataclass(frozen=True)
 class Similarity:
-    """bm25 with k1 and b, or tf: occurrences / 1000."""
+    """bm25 with k1 and b; tf: occurrences / 1000; or the caller's own `weight` of (occurrences, idf, length, average length), all columns."""
 
     kind: str = "bm25"
     k1: float = 1.2
     b: float = 0.75
+    weight: Callable[[Column, Column, Column, Column], Column] | None = None
 
 
 @dataclass
@@ -92,11 +98,38 @@ class Core:
         if name in self.ready:
             return F.col(self.ready[name])
         if role.kind in ("text", "set"):
+            if role.analyzer == "dutch" and self.is_array(name):
+                out = F.transform(self.placed(name), lambda t: t.term)
+                return F.array_distinct(out) if role.kind == "set" else out
             analyze = ANALYZERS[role.analyzer]
             out = F.flatten(F.transform(F.coalesce(self.col(name), F.array().cast("array<string>")), analyze)) if self.is_array(name) else analyze(self.col(name))
             return F.array_distinct(out) if role.kind == "set" else out
         return F.coalesce(F.transform(self.values(name), lambda x: x.cast("string")), F.array().cast("array<string>"))
 
+    def placed(self, name: str) -> Column:
+        """Terms of a text field with their places: (term, pos). Stems share the place of their word."""
+        role = self.role(name)
+        texts = self.col(name) if self.is_array(name) else F.when(self.col(name).isNotNull(), F.array(self.col(name)))
+        if role.analyzer != "dutch":
+            return positions(texts, ANALYZERS[role.analyzer], role.gap)
+        from facetry.functions.stemming import dutch_tokens
+
+        words = positions(texts, standard, role.gap)
+        stems = dutch_tokens(F.transform(words, lambda w: w.term))
+        return F.transform(stems, lambda t: F.struct(t.term.alias("term"), F.get(words, t.pos).pos.alias("pos")))
+
+    def ordered(self, name: str) -> bool:
+        """Whether the field's terms stand one a place without gaps, so that an array of them tells their places."""
+        role = self.role(name)
+        return role.kind != "text" or role.analyzer != "dutch" and not (role.gap and self.is_array(name))
+
+    def length(self, name: str) -> Column:
+        """Number of terms of a field; of plain text counted without making them."""
+        role = self.role(name)
+        if name in self.ready or role.kind != "text" or role.analyzer != "standard" or self.is_array(name):
+            return F.size(self.tokens(name))
+        return F.coalesce(F.regexp_count(fold(self.col(name)), F.lit(TOKEN)), F.lit(0))
+
     def paths(self, dim: str) -> Column:
         """Facet paths of a dimension: an array of arrays of labels. A plain value is a path of one label."""
         column = self._column(dim)
@@ -116,8 +149,8 @@ class Core:
         role = self.role(name)
         if name in self.ready or role.kind not in ("text", "set") or role.analyzer != "standard" or self.is_array(name):
             return F.lit(True)
-        text = fold(self.col(name))
-        return reduce(and_, [text.contains(w) for w in dict.fromkeys(words)], F.lit(True))
+        patterns = [p for p in map(word_pattern, dict.fromkeys(words)) if p]
+        return reduce(and_, [self.col(name).rlike(p) for p in patterns], F.lit(True))
 
     def tokenised(self, names: list[str], df: DataFrame) -> tuple[Core, DataFrame]:
         """`df`, rows of this core, with the terms of text fields in columns of their own, and a core that knows them."""
@@ -126,5 +159,12 @@ class Core:
             df = df.withColumn(column, self.tokens(n))
         return Core(self.name, df, self.id, self.fields, self.order, self.similarity, self.ready | ready), df
 
+    def indexed(self, names: list[str], path: str) -> Core:
+        """This core with the terms of text fields written once to `path`, for many queries over the same rows."""
+        _, df = self.tokenised(names, self.df)
+        df.write.parquet(path)
+        ready = {n: f"__tok{i}" for i, n in enumerate(dict.fromkeys(names)) if self.role(n).kind in ("text", "set") and n not in self.ready}
+        return Core(self.name, self.df.sparkSession.read.schema(df.schema).parquet(path), self.id, self.fields, self.order, self.similarity, self.ready | ready)
+
     def with_df(self, df: DataFrame) -> Core:
-        return Core(self.name, df, self.id, self.fields, self.order, self.similarity)
+        return Core(self.name, df, self.id, self.fields, self.order, self.similarity, self.ready)

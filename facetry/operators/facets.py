@@ -23,10 +23,20 @@ class Facet:
 
 def path_counts(core: Core, rows: DataFrame, dim: str) -> DataFrame:
     """(path, count) of every path and each of its beginnings."""
+    column = core.role(dim).column or dim
+    if column in rows.columns and not core.is_array(dim):  # a plain value: no arrays to take apart before they are counted
+        value = F.col(column).cast("string")
+        return rows.where(value.isNotNull() & (value != "")).groupBy(value.alias("value")).agg(F.count("*").alias("count")).select(F.array("value").alias("path"), "count")
     prefixes = F.array_distinct(F.flatten(F.transform(core.paths(dim), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.slice(p, 1, n)))))
     return rows.select(F.explode(prefixes).alias("path")).groupBy("path").agg(F.count("*").alias("count"))
 
 
+def paths_with_root(core: Core, rows: DataFrame, dim: str) -> DataFrame:
+    """(path, count) as `path_counts`, and with the empty path the number of rows that have the dimension at all."""
+    root = rows.agg(F.count(F.when(F.size(core.paths(dim)) > 0, 1)).alias("count")).select(F.array().cast("array<string>").alias("path"), "count")
+    return path_counts(core, rows, dim).unionByName(root)
+
+
 def specific_value(core: Core, rows: DataFrame, dim: str, path: tuple[str, ...]) -> DataFrame:
     """(count) of one path, -1 where no row has it."""
     counts = path_counts(core, rows, dim).where(F.col("path") == F.array(*map(F.lit, path)))

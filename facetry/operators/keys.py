@@ -60,6 +60,14 @@ def distinct_keys(rows: DataFrame, key: Column) -> DataFrame:
     return rows.select(valid_key(key).alias("key")).where("key is not null").distinct()
 
 
+def bitmap_keys(maps: DataFrame) -> DataFrame:
+    """(key): what `bitmaps` wrote, read back."""
+    byte = F.conv(F.substring(F.hex("bits"), 2 * F.col("at") + 1, F.lit(2)), 16, 10).cast("int")
+    bytes_ = maps.select("bucket", "bits", F.explode(F.sequence(F.lit(0), F.octet_length("bits") - 1)).alias("at")).select("bucket", "at", byte.alias("byte")).where("byte > 0")
+    bits = bytes_.select("bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("getbit(byte, bit) = 1")
+    return bits.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1).alias("key"))
+
+
 def bitmaps(keys: DataFrame) -> DataFrame:
     """(bucket, bits): a key set as bitmaps of 32,768 keys each; bucket 1 begins with key 1."""
     return keys.groupBy(F.bitmap_bucket_number("key").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits"))
@@ -69,6 +77,13 @@ def collect_keys(core: Core, key: str, node: Node) -> KeySet:
     return KeySet(distinct_keys(core.df.where(predicate(core, node)), core.col(key)))
 
 
+class KeyNode(Node):
+    """A relational node of the caller's own: a subclass says which keys it has, of those in `within` if that is given."""
+
+    def keys(self, cores: dict[str, Core], within: KeySet | None) -> KeySet:
+        raise NotImplementedError
+
+
 def evaluate(node: Node, cores: dict[str, Core], within: KeySet | None = None, plus: KeySet | None = None, invert: bool = False) -> KeySet:
     """Key set of a tree of And, Or, Not and Leaf nodes.
 
@@ -94,6 +109,9 @@ def evaluate(node: Node, cores: dict[str, Core], within: KeySet | None = None, p
         keys = evaluate(node.second, cores, within, first)
         if plus and not invert:
             keys = keys | plus
+    elif isinstance(node, KeyNode):
+        keys = node.keys(cores, within)
+        keys = keys | plus if plus and not invert else keys
     else:
         raise TypeError(f"not a relational node: {type(node).__name__}")
     if invert:

@@ -66,6 +66,12 @@ def deduplicated(core: Core, rows: DataFrame, key: str, order: list[Column], bes
     return marked.where("__rn = 1").drop("__rn")
 
 
+def quantised(score: Column) -> Column:
+    """The score as a float of 11 significant bits between 2 ** -20 and 4095; less than that, and negative ones, are 0."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(score)) - 10)
+    return F.when(score >= 2.0**-20, F.least(F.floor(score / step) * step, F.lit(4095.0))).otherwise(0.0)
+
+
 def blended(rows: DataFrame, key: Column, scores: list[DataFrame], ratio: float = 0.5, name: str = "score") -> DataFrame:
     """(1 - ratio) * score + ratio * product of (1 + other score), the others by key: DataFrames (key, other)."""
     if not 0 <= ratio <= 1:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,8 +40,8 @@ def suggest(suggestions: DataFrame, typed: str, n: int = 3, limit: int = 25, fil
         return suggestions.select("value", "type", "creator", F.lit(0.0).alias("score")).limit(0)
     stats = suggestions.agg(F.count("*").alias("n"), F.avg(F.size("grams")).alias("avg"), *(F.sum(F.array_contains("grams", g).cast("long")).alias(f"df{i}") for i, g in enumerate(wanted)))
     rows = suggestions.where(reduce(lambda a, c: a & c, [F.array_contains("grams", g) for g in wanted]))
-    for field, value in (filters or {}).items():
-        rows = rows.where(F.col(field) == value)
+    for name, value in (filters or {}).items():
+        rows = rows.where(F.col(name) == value)
     if key_set is not None:
         held = rows.select("type", "creator", "value", F.explode("keys").alias("key")).join(key_set.select("key"), "key", "left_semi").select("type", "creator", "value").distinct()
         same = reduce(lambda a, c: a & c, [rows[x].eqNullSafe(held[x]) for x in ("type", "creator", "value")])
@@ -63,3 +65,27 @@ def rerank(found: DataFrame, typed: str, limit: int = 10, min_score: float = 0.0
     scored = found.select("value", "type", score.alias("score")).where(F.col("score") > min_score)
     best = scored.groupBy("value").agg(F.max_by("type", F.struct("score", "type")).alias("type"), F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "value").limit(limit)
+
+
+@dataclass
+class Suggester:
+    """Suggestions with named key sets, by which a lookup can be restricted, and what an administrator asks for."""
+
+    suggestions: DataFrame
+    key_sets: dict[str, DataFrame] = field(default_factory=dict)
+    built: float = field(default_factory=time.time)
+
+    def register(self, name: str, keys: DataFrame) -> None:
+        """`keys` has a column `key`."""
+        self.key_sets[name] = keys
+
+    def rebuild(self, records: DataFrame, n: int = 3) -> None:
+        self.suggestions, self.built = build(records, n), time.time()
+
+    def suggest(self, typed: str, key_set: str | None = None, **arguments) -> DataFrame:
+        """As `suggest`; a name that isn't registered filters nothing."""
+        return suggest(self.suggestions, typed, key_set=self.key_sets.get(key_set) if key_set else None, **arguments)
+
+    def info(self) -> DataFrame:
+        """(suggestions, key_sets, built): one row."""
+        return self.suggestions.agg(F.count("*").alias("suggestions")).select("suggestions", F.lit(len(self.key_sets)).alias("key_sets"), F.lit(self.built).alias("built"))

@@ -72,11 +72,14 @@ def similar_documents(core: Core, field: str, doc_id, limit: int = 10, common_sh
     row has no rare term; then all its common terms are required.
     """
     own = core.df.where(F.col(core.id) == doc_id)
-    tokens = core.df.select(F.col(core.id).alias("id"), core.tokens(field).alias("tok"))
-    length = F.nullif(F.size("tok"), F.lit(0))
-    stats = tokens.agg(F.count(length).alias("n"), F.avg(length).alias("avg"))
-    wanted = own.select(core.tokens(field).alias("tok")).select(F.explode(F.array_distinct("tok")).alias("term"))
-    postings = tokens.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term")).join(wanted.distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = own.select(F.explode(core.tokens(field)).alias("term")).agg(F.array_sort(F.collect_set("term")).alias("wanted"))
+    _, rows = core.tokenised([field], core.df)
+    tok = F.col("__tok0") if "__tok0" in rows.columns and field not in core.ready else core.tokens(field)
+    # One pass: what a row shares with the few wanted terms, and the lengths of all rows for the statistics.
+    shared = rows.crossJoin(F.broadcast(wanted)).select(F.col(core.id).alias("id"), F.size(tok).alias("dl"), F.filter(tok, lambda x: F.array_contains("wanted", x)).alias("hit"))
+    postings = shared.select("id", "dl", F.explode(F.array_distinct("hit")).alias("term"), "hit").select("id", "dl", "term", F.size(F.filter("hit", lambda x: x == F.col("term"))).alias("tf"))
+    length = F.nullif(core.length(field), F.lit(0))
+    stats = core.df.agg(F.count(length).alias("n"), F.avg(length).alias("avg"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats))
     rare = F.col("df") <= F.ceil(F.col("n") * F.lit(common_share))

@@ -13,7 +13,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.functions.analysis import haversine, phrase_count
+from facetry.functions.analysis import haversine, phrase_count, placed_phrase_count
 from facetry.operators.core import Core
 from facetry.plans.nodes import MUST, MUST_NOT, SHOULD, Bool, Distance, Drilldown, MatchAll, Node, Phrase, Prefix, Range, Term, Wildcard
 
@@ -35,6 +35,12 @@ def _any(core: Core, field: str, test) -> Column:
     return F.exists(core.tokens(field), test)
 
 
+def _phrase_count(core: Core, field: str, terms: tuple[str, ...]) -> Column:
+    if core.ordered(field) or len(terms) < 2:
+        return phrase_count(core.tokens(field), list(terms))
+    return placed_phrase_count(core.placed(field), list(terms))
+
+
 def _range(core: Core, node: Range) -> Column:
     def within(value: Column) -> Column:
         tests = []
@@ -77,7 +83,7 @@ def _raw(core: Core, node: Node) -> Column:
         case Phrase(field=field, terms=terms):
             if core.role(field).kind == "set" and len(terms) > 1:
                 return F.lit(False)
-            return core.may_hold(field, list(terms)) & (phrase_count(core.tokens(field), list(terms)) > 0)
+            return core.may_hold(field, list(terms)) & (_phrase_count(core, field, terms) > 0)
         case Range():
             return _range(core, node)
         case Distance():
@@ -115,7 +121,7 @@ def _terms(leaf: Term | Phrase | Drilldown) -> list[Node]:
 
 
 def _length(core: Core, field: str, leaf: Node) -> Column:
-    return F.size(core.paths(field)) if isinstance(leaf, Drilldown) else F.size(core.tokens(field))
+    return F.size(core.paths(field)) if isinstance(leaf, Drilldown) else core.length(field)
 
 
 def with_scores(core: Core, df: DataFrame, node: Node, name: str = "score") -> DataFrame:
@@ -128,8 +134,7 @@ def with_scores(core: Core, df: DataFrame, node: Node, name: str = "score") -> D
         return df.withColumn(name, _score(core, node, {}).cast("double"))
     fields = {(_field(x), isinstance(x, Drilldown)): x for x in leaves}
     columns = [c for c in df.columns if c != name]
-    texts = [f for f, drill in fields if not drill]
-    core, df = core.tokenised(texts, core.df)[0], core.tokenised(texts, df)[1]
+    texts = [f for f, drill in fields if not drill and core.ordered(f)]
     terms = list(dict.fromkeys(t for x in leaves for t in _terms(x)))
     stats, names = [], {}
     for k, ((f, drill), leaf) in enumerate(fields.items()):
@@ -144,7 +149,9 @@ def with_scores(core: Core, df: DataFrame, node: Node, name: str = "score") -> D
         n = F.col(f"__n{names[_field(t), isinstance(t, Drilldown)]}")
         idf[t] = F.log1p((n - F.col(f"__df{k}") + 0.5) / (F.col(f"__df{k}") + 0.5))
     at = {leaf: (reduce(add, [idf[t] for t in _terms(leaf)]), F.col(f"__avg{names[_field(leaf), isinstance(leaf, Drilldown)]}")) for leaf in leaves if _terms(leaf)}
-    joined = df.crossJoin(F.broadcast(row)).withColumn(name, _score(core, node, at).cast("double"))
+    # Only the rows to be scored get their terms; the statistics count terms and look for those asked for.
+    here, df = core.tokenised(texts, df)
+    joined = df.crossJoin(F.broadcast(row)).withColumn(name, _score(here, node, at).cast("double"))
     return joined.select(*columns, name)
 
 
@@ -152,7 +159,7 @@ def _tf(core: Core, leaf: Term | Phrase | Drilldown) -> Column:
     if isinstance(leaf, Drilldown):
         return predicate(core, leaf).cast("int")
     if isinstance(leaf, Phrase):
-        return F.when(predicate(core, leaf), phrase_count(core.tokens(leaf.field), list(leaf.terms))).otherwise(0)
+        return F.when(predicate(core, leaf), _phrase_count(core, leaf.field, leaf.terms)).otherwise(0)
     if _plain(core, leaf.field):
         return predicate(core, leaf).cast("int")
     return F.size(F.filter(core.tokens(leaf.field), lambda t: t == leaf.value))
@@ -170,6 +177,8 @@ def _score(core: Core, node: Node, at: dict) -> Column:
         if leaf not in at:
             return F.lit(0.0)
         idf, average = at[leaf]
+        if s.weight:
+            return F.when(tf > 0, s.weight(tf, idf, _length(core, _field(leaf), leaf), average)).otherwise(0.0) * node.boost
         kind = core.role(_field(leaf)).kind
         norm = F.lit(s.k1) if isinstance(leaf, Drilldown) or kind != "text" else s.k1 * (1 - s.b + s.b * _length(core, _field(leaf), leaf) / average)
         return F.when(tf > 0, idf * tf / (tf + norm)).otherwise(0.0) * node.boost

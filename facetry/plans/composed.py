@@ -8,30 +8,36 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.operators import facets as facet_op
+from facetry.operators.cluster import Strategy, clustered
 from facetry.operators.core import Core
 from facetry.operators.facets import Facet
-from facetry.operators.keys import KeySet, collect_keys, distinct_keys, evaluate, valid_key
-from facetry.operators.ranking import SortKey, blended, deduplicated, joined_order_column, last_by_key, order_column, page
+from facetry.operators.keys import KeyNode, KeySet, collect_keys, distinct_keys, evaluate, valid_key
+from facetry.operators.ranking import SortKey, blended, deduplicated, joined_order_column, last_by_key, order_column, page, quantised
+from facetry.operators.terms import spelling
 from facetry.plans.compile import predicate, with_scores
 from facetry.plans.nodes import And, Drilldown, Leaf, MatchAll, Node, Not, Or, must
 
-_RELATIONAL = (And, Or, Not, Leaf)
+_RELATIONAL = (And, Or, Not, Leaf, KeyNode)
 
 
 @dataclass
 class Response:
-    """`rows` are all matches with all columns, `hits` the page of them in order, `total` one row (total, total_with_duplicates), `facets` counts, `keys` those asked for. All are lazy."""
+    """`rows` are all matches with all columns, `hits` the page of them in order, `total` one row (total, total_with_duplicates and the query's collectors), `facets` counts, `keys` those asked for,
+    `clusters` of the best hits and `suggestions` of other spellings. All are lazy."""
 
     rows: DataFrame
     hits: DataFrame
     total: DataFrame
     facets: DataFrame | None = None
     keys: DataFrame | None = None
+    clusters: DataFrame | None = None
+    suggestions: DataFrame | None = None
 
 
 @dataclass
@@ -55,6 +61,14 @@ class ComposedQuery:
     dedup: str | None = None
     dedup_sort: list[str] = field(default_factory=list)
     export_key: str | None = None
+    #: Aggregates of the caller's own, by name; they are computed with the total in one pass over the matches.
+    collectors: dict[str, Column] = field(default_factory=dict)
+    #: Scores of other cores have 11 significant bits, as in a compact store.
+    quantised: bool = False
+    clustering: list[Strategy] = field(default_factory=list)
+    cluster_more: int = 100
+    #: Arguments of `spelling`: field, words and what else it takes.
+    suggest: dict[str, Any] = field(default_factory=dict)
 
     def match(self, core: str, other: str, key: str, other_key: str) -> ComposedQuery:
         """Declares the keys that join two cores; one of them is the core of the results."""
@@ -107,7 +121,15 @@ def execute(query: ComposedQuery, cores: dict[str, Core]) -> Response:
     hits, total = _hits(query, cores, matched, main)
     found = _facets(query, cores, matched)
     keys = distinct_keys(matched, core.col(query.export_key)) if query.export_key else None
-    return Response(matched, hits, total, found, keys)
+    clusters = _clusters(query, core, matched, main) if query.clustering else None
+    suggestions = spelling(core, **query.suggest) if query.suggest else None
+    return Response(matched, hits, total, found, keys, clusters, suggestions)
+
+
+def _clusters(query: ComposedQuery, core: Core, matched: DataFrame, main: Node) -> DataFrame:
+    best = with_scores(core, matched, main).orderBy(F.desc("score"), core.order).limit(query.stop + query.cluster_more)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), core.order)))
+    return clustered(core, ranked, query.clustering, stop=query.stop, more=query.cluster_more)
 
 
 def _restricted(query: ComposedQuery, cores: dict[str, Core]) -> DataFrame:
@@ -150,6 +172,8 @@ def _ranked(query: ComposedQuery, cores: dict[str, Core], rows: DataFrame) -> Da
         their = cores[other]
         scored = with_scores(their, their.df.where(predicate(their, node)), node, "other")
         key = valid_key(their.col(query.key_name(other, result)))
+        if query.quantised:
+            scored = scored.withColumn("other", quantised(F.col("other")))
         by_key.setdefault(query.key_name(result, other), []).append(scored.select(key.alias("key"), "other").where("key is not null").groupBy("key").agg(F.max("other").alias("other")))
     for name in sorted(by_key):
         rows = blended(rows, cores[result].col(name), by_key[name], query.rank_ratio)
@@ -183,16 +207,16 @@ def _hits(query: ComposedQuery, cores: dict[str, Core], matched: DataFrame, main
     else:
         rows = rows.withColumn("score", F.lit(None).cast("double"))
     rows, order = _order(query, cores, rows)
-    raw = matched.agg(F.count("*").alias("total_with_duplicates"))
+    collected = [c.alias(name) for name, c in query.collectors.items()]
     if not query.dedup:
         stored = [F.array(core.col(f)).alias(f) if not core.is_array(f) else core.col(f).alias(f) for f in query.stored if core.has(f) and core.role(f).stored]
         hits = page(rows, order, query.start, query.stop).select(F.col(core.id).alias("id"), "score", *stored)
-        return hits, raw.select(F.col("total_with_duplicates").alias("total"), "total_with_duplicates")
+        return hits, matched.agg(F.count("*").alias("total"), F.count("*").alias("total_with_duplicates"), *collected)
     groups = deduplicated(core, rows, query.dedup, order, query.dedup_sort)
     hits = page(groups, order, query.start, query.stop).select(F.col("rep").alias("id"), "score", "duplicate_count")
     key = valid_key(core.col(query.dedup))
-    total = matched.agg((F.count_distinct(key) + F.sum(F.when(key.isNull(), 1).otherwise(0))).alias("total"), F.count("*").alias("total_with_duplicates"))
-    return hits, total.select(F.coalesce("total", F.lit(0)).alias("total"), "total_with_duplicates")
+    total = matched.agg((F.count_distinct(key) + F.sum(F.when(key.isNull(), 1).otherwise(0))).alias("total"), F.count("*").alias("total_with_duplicates"), *collected)
+    return hits, total.select(F.coalesce("total", F.lit(0)).alias("total"), "total_with_duplicates", *query.collectors)
 
 
 def _facets(query: ComposedQuery, cores: dict[str, Core], matched: DataFrame) -> DataFrame | None:
@@ -203,16 +227,15 @@ def _facets(query: ComposedQuery, cores: dict[str, Core], matched: DataFrame) ->
         rows = matched
         if name != result:
             nodes = [query.queries.get(name, MatchAll()), *query.filters.get(name, []), *query.facet_filters.get(name, []), *query.drilldown_nodes(name)]
-            rows = core.df.where(reduce(lambda a, b: a & b, [predicate(core, n) for n in nodes if not isinstance(n, _RELATIONAL)]))
+            rows = core.df.where(reduce(lambda a, b: a & b, [predicate(core, n) for n in nodes if not isinstance(n, _RELATIONAL)], F.lit(True)))
             keys = KeySet(distinct_keys(matched, cores[result].col(query.key_name(result, name))))
-            rows = keys.keep(rows, core.col(query.key_name(name, result)))
+            for k in [keys, *(evaluate(n, cores) for n in nodes if isinstance(n, _RELATIONAL))]:
+                rows = k.keep(rows, core.col(query.key_name(name, result)))
         parts += [facet_op.facet_counts(core, rows, f) for f in wanted]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def rows_from(response: Response) -> DataFrame:
     """Hits with their rank from 1, one JSON object a row, as a server would send them; a missing score is left out."""
-    from pyspark.sql import Window
-
     ranked = response.hits.withColumn("rank", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
     return ranked.select("rank", F.to_json(F.struct(*response.hits.columns)).alias("hit"))

@@ -143,7 +143,7 @@ def to_json(node: Node) -> dict[str, Any]:
         case Bool(clauses=clauses):
             out = {"type": "BooleanQuery", "clauses": [to_json(n) | {"occur": o} for o, n in clauses]}
         case Leaf():
-            out = {"type": "RelationalLeafQuery", "core": node.core, "collectKeyName": node.collect_key, "filterKeyName": node.filter_key, "query": to_json(node.query)}
+            out = {"type": "RelationalLuceneQuery", "core": node.core, "collectKeyName": node.collect_key, "filterKeyName": node.filter_key, "query": to_json(node.query)}
         case And() | Or():
             out = {"type": _RELATIONAL[type(node)], "first": to_json(node.first), "second": to_json(node.second)}
         case Not(query=query):
