@@ -172,14 +172,13 @@ def placed_phrase_count(placed: Column, terms: list[str]) -> Column:
     if not terms:
         return F.lit(0)
 
-    def count(tok: Column) -> Column:
-        starts = [F.transform(F.filter(tok, lambda x, t=t: x.term == t), lambda x, i=i: x.pos - i) for i, t in enumerate(terms)]
-        both = starts[0]
-        for s in starts[1:]:
-            both = F.array_intersect(both, s)
-        return F.size(both)
+    def starts(i: int, term: str) -> Column:
+        return F.transform(F.filter(placed, lambda x: x.term == term), lambda x: x.pos - i)
 
-    return once(placed, count)
+    both = starts(0, terms[0])
+    for i, term in enumerate(terms[1:], 1):
+        both = F.array_intersect(both, starts(i, term))
+    return F.size(both)
 
 
 def haversine(lat: Column, lon: Column, to_lat: float, to_lon: float) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Stands between two values of a field where their tokens are one array.
+VALUE_BREAK = "zzvaluebreakzz"
 _VOWELS = set("aeiouyè")
 _FLAT = str.maketrans("äëïöüáéíóú", "aeiouaeiou")
 
@@ -84,24 +86,29 @@ def dutch(word: str) -> str:
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType())])))
-def _stemmed(tokens: pd.Series) -> pd.Series:
+def _stemmed(tokens: pd.Series, gap: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     out = []
-    for row in tokens:
-        placed = []
-        for i, t in enumerate(row if row is not None else ()):
-            if t not in known:
-                known[t] = dutch(t)
-            placed.append({"term": t, "pos": i})
-            if known[t] != t:
-                placed.append({"term": known[t], "pos": i})
+    for row, between in zip(tokens, gap, strict=True):
+        placed, at = [], 0
+        for t in row if row is not None else ():
+            if t == VALUE_BREAK:
+                at += between
+                continue
+            stem = known.get(t)
+            if stem is None:
+                stem = known[t] = dutch(t)
+            placed.append({"term": t, "pos": at})
+            if stem != t:
+                placed.append({"term": stem, "pos": at})
+            at += 1
         out.append(placed)
     return pd.Series(out)
 
 
-def dutch_tokens(tokens: Column) -> Column:
-    """(term, pos) of each token and, at the same place, of its stem where that differs."""
-    return _stemmed(tokens)
+def dutch_tokens(tokens: Column, gap: int = 0) -> Column:
+    """(term, pos) of each token and, at the same place, of its stem where that differs. A token VALUE_BREAK is left out; `gap` places lie there."""
+    return _stemmed(tokens, F.lit(gap))
 
 
 def damerau(a: str, b: str) -> int:

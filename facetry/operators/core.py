@@ -109,14 +109,13 @@ class Core:
     def placed(self, name: str) -> Column:
         """Terms of a text field with their places: (term, pos). Stems share the place of their word."""
         role = self.role(name)
-        texts = self.col(name) if self.is_array(name) else F.when(self.col(name).isNotNull(), F.array(self.col(name)))
         if role.analyzer != "dutch":
+            texts = self.col(name) if self.is_array(name) else F.when(self.col(name).isNotNull(), F.array(self.col(name)))
             return positions(texts, ANALYZERS[role.analyzer], role.gap)
-        from facetry.functions.stemming import dutch_tokens
+        from facetry.functions.stemming import VALUE_BREAK, dutch_tokens
 
-        words = positions(texts, standard, role.gap)
-        stems = dutch_tokens(F.transform(words, lambda w: w.term))
-        return F.transform(stems, lambda t: F.struct(t.term.alias("term"), F.get(words, t.pos).pos.alias("pos")))
+        text = F.array_join(self.col(name), f" {VALUE_BREAK} ") if self.is_array(name) else self.col(name)
+        return dutch_tokens(standard(text), role.gap)
 
     def ordered(self, name: str) -> bool:
         """Whether the field's terms stand one a place without gaps, so that an array of them tells their places."""

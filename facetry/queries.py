@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetry.functions import analysis
@@ -12,9 +13,9 @@ from facetry.functions.stemming import dutch_tokens
 from facetry.operators import cluster, facets, ranking, suggest, terms
 from facetry.operators.core import Core, Field, Similarity
 from facetry.operators.facets import Facet
-from facetry.operators.keys import bitmaps, distinct_keys, evaluate
+from facetry.operators.keys import KeyNode, KeySet, bitmap_keys, bitmaps, distinct_keys, evaluate
 from facetry.operators.ranking import SortKey
-from facetry.plans import cql
+from facetry.plans import codec, cql, nodes
 from facetry.plans.compile import predicate, with_scores
 from facetry.plans.composed import ComposedQuery, execute
 from facetry.plans.nodes import And, Bool, Distance, Drilldown, Leaf, MatchAll, Not, Or, Phrase, Prefix, Range, Term, Wildcard, must, should
@@ -91,8 +92,6 @@ where o_orderpriority = '1-URGENT' and o_orderkey > 0 and o_orderkey in (select
 order by o_totalprice desc, o_orderkey limit 10""")
 def search_top_orders(spark, sf_dir):
     """Urgent orders with a returned line, the ten of the highest price."""
-    from pyspark.sql import Window
-
     q = ComposedQuery("orders", queries={"orders": t("o_orderpriority", "1-URGENT"), "lineitem": t("l_returnflag", "R")}, sort_keys=[SortKey("o_totalprice", True, "Double")], stored=["o_totalprice"])
     hits = execute(q.match("orders", "lineitem", "o_orderkey", "l_orderkey"), cores(spark, sf_dir, "orders", "lineitem")).hits
     price = F.col("o_totalprice")[0]
@@ -163,12 +162,12 @@ def negation(spark, sf_dir):
 
 @query("""
 select s_suppkey from (select s_suppkey, (s_suppkey % 180) - 90.0 as lat, (s_nationkey * 14.0) - 180.0 as lon from supplier)
-where 2 * 6371008.7714 * asin(sqrt(pow(sin(radians(lat - 52.0) / 2), 2) + cos(radians(lat)) * cos(radians(52.0)) * pow(sin(radians(lon - 5.0) / 2), 2))) <= 3000000""")
+where 2 * 6371008.7714 * asin(sqrt(pow(sin(radians(lat + 40.0) / 2), 2) + cos(radians(lat)) * cos(radians(-40.0)) * pow(sin(radians(lon - 5.0) / 2), 2))) <= 5000000""")
 def geo_distance(spark, sf_dir):
     c = core(spark, sf_dir, "supplier")
     lat, lon = (F.col("s_suppkey") % 180 - 90).cast("double"), F.col("s_nationkey") * 14.0 - 180.0
     c = Core("supplier", c.df.withColumn("place", F.struct(lat.alias("lat"), lon.alias("lon"))), "s_suppkey", {"place": Field("geo", "place")})
-    return c.df.where(predicate(c, Distance(field="place", lat=52.0, lon=5.0, radius=3_000_000))).select("s_suppkey")
+    return c.df.where(predicate(c, Distance(field="place", lat=-40.0, lon=5.0, radius=5_000_000))).select("s_suppkey")
 
 
 # Joins by key.
@@ -336,8 +335,6 @@ def dedup(spark, sf_dir):
 select o_orderkey, o_totalprice, row_number() over (order by o_orderpriority desc nulls last, o_totalprice desc nulls last, o_orderkey) as rank from orders
 qualify rank > 5 and rank <= 25""")
 def sort_and_page(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = core(spark, sf_dir, "orders")
     order = [ranking.order_column(F.col("o_orderpriority"), SortKey("o_orderpriority", True)), ranking.order_column(F.col("o_totalprice"), SortKey("o_totalprice", True, "Double", -1.0)), F.asc("o_orderkey")]
     rows = ranking.page(c.df, order, 5, 25)
@@ -349,8 +346,6 @@ select o_orderkey, row_number() over (order by coalesce(c_acctbal, 0) desc, o_or
 qualify rank <= 20""")
 def sort_join(spark, sf_dir):
     """Orders by the balance of their customer."""
-    from pyspark.sql import Window
-
     q = ComposedQuery("orders", sort_keys=[SortKey("c_acctbal", True, "Double", core="customer")], stop=20).match("orders", "customer", "o_custkey", "c_custkey")
     hits = execute(q, cores(spark, sf_dir, "orders", "customer")).hits
     return hits.select(F.col("id").alias("o_orderkey"), F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("rank"))
@@ -466,9 +461,9 @@ def suggestions(spark, sf_dir):
 
 @query(f"""with {_SUGGEST},
 b as (select value, type, greatest(0, 1 - ln(levenshtein(lower(value), 're') + 1) / 4) * pow(score, 2) * 2 * cast(contains(lower(value), 're') as int) as score from r)
-select value, max(round(score, 6)) as score from b where score > 0 group by value order by max(score) desc, value limit 10""")
+select value, arg_max(type, (score, type)) as type, max(round(score, 6)) as score from b where score > 0 group by value order by max(score) desc, value limit 10""")
 def suggestions_reranked(spark, sf_dir):
-    return suggest.rerank(suggest.suggest(_names(spark, sf_dir), "re"), "re").select("value", F.round("score", 6).alias("score"))
+    return suggest.rerank(suggest.suggest(_names(spark, sf_dir), "re"), "re").select("value", "type", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -482,8 +477,6 @@ def dutch_stems(spark, sf_dir):
 @query()
 def clusters(spark, sf_dir):
     """The ten first clusters among the documents that score best for a term."""
-    from pyspark.sql import Window
-
     ship(spark)
     c = core(spark, sf_dir, "documents")
     node = t("text", "license")
@@ -563,3 +556,453 @@ def streaming_upsert(spark, sf_dir):
     out = ingest.Table(spark, f"{folder}/table")
     upsert_stream(stream, out, f"{folder}/checkpoint").awaitTermination()
     return out.read()
+
+
+# Fields and documents in and out.
+
+
+@query("""
+select case when event_type = 'view' then null else user_id end as id, max(event_id) as seq from events where event_type <> 'view' group by 1
+union all select null, event_id from events where event_type = 'view'""")
+def append_rows(spark, sf_dir):
+    """Rows without an id are appended, others replace each other."""
+    named = F.when(F.col("event_type") != "view", F.col("user_id"))
+    changes = table(spark, sf_dir, "events").select(named.alias("id"), F.col("event_id").alias("seq"))
+    return ingest.upserted(changes.limit(0), changes).select("id", "seq")
+
+
+@query("select o_orderkey from orders where not (o_orderstatus = 'F' and o_totalprice > 200000)")
+def delete_by_query(spark, sf_dir):
+    c = core(spark, sf_dir, "orders")
+    return ingest.deleted_by_query(c, must(t("o_orderstatus", "F"), Range(kind="Double", field="o_totalprice", low=200000, with_low=False))).df.select("o_orderkey")
+
+
+@query("select c_custkey as id, c_mktsegment as segment from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
+def commit_by_count(spark, sf_dir):
+    """Two changes pass the count and are published; the third isn't seen."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.lit(1).alias("seq"))
+    out = ingest.Table(spark, shared_folder(spark))
+    first, second, third = (customers.where(F.col("segment") == s) for s in ("BUILDING", "MACHINERY", "FURNITURE"))
+    writer = ingest.Writer(out, commit_count=first.count() + second.count(), commit_timeout=1e9)
+    for change in (first, second, third):
+        writer.add(change)
+    return out.read().select("id", "segment")
+
+
+@query("select p_partkey, p_name as name, [p_brand] as \"untokenized.brand\", p_size as \"__numeric__.size\", [[p_type, p_brand]] as kind from part")
+def json_documents(spark, sf_dir):
+    """Documents written as JSON fields and read by the kinds of their names."""
+
+    def field(kind: str, name: str, value=None, path=None):
+        return F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), (F.lit(None) if value is None else value).cast("string").alias("value"), (F.lit(None) if path is None else path).cast("array<string>").alias("path"))
+
+    fields = F.array(field("TextField", "name", F.col("p_name")), field("StringField", "untokenized.brand", F.col("p_brand")), field("NumericField", "__numeric__.size", F.col("p_size")), field("FacetField", "kind", path=F.array("p_type", "p_brand")))
+    raw = table(spark, sf_dir, "part").select("p_partkey", F.to_json(fields).alias("json"))
+    registry = ingest.FieldRegistry(drilldowns={"kind": Field("facet", "kind", hierarchical=True)})
+    out = ingest.decoded(raw, registry, ["name", "untokenized.brand", "__numeric__.size", "kind"])
+    return out.select("p_partkey", F.col("name")[0].alias("name"), "`untokenized.brand`", F.col("`__numeric__.size`").cast("int").alias("__numeric__.size"), "kind")
+
+
+@query("select 'part:' || p_partkey as id, 'brand=' || substring(p_brand, 1, 6) || ';name=' || p_name as fields from part")
+def transaction_fields(spark, sf_dir):
+    """Fields of one transaction gathered to a document: the id is rewritten, facet labels are cut."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").cast("string").alias("id"), F.lit("name").alias("name"), F.col("p_name").alias("value"), F.lit(False).alias("facet"))
+    rows = rows.unionByName(part.select(F.col("p_partkey").cast("string").alias("id"), F.lit("brand").alias("name"), F.col("p_brand").alias("value"), F.lit(True).alias("facet")))
+    out = ingest.gathered(rows, 6, rewrite_id=lambda i: F.concat(F.lit("part:"), i))
+    return out.select("id", F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), f["value"])), ";").alias("fields"))
+
+
+@query("""
+select p_partkey as id, 'p_name' as name, p_name as value, false as facet from part union all select p_partkey, 'p_type', p_type, false from part
+union all select p_partkey, 'p_type', substring(p_type, 1, 4), true from part""")
+def listed_fields(spark, sf_dir):
+    """A factory makes one row of a name and two, one of them a facet, of a type."""
+
+    def factory(f):
+        def one(facet):
+            return F.struct(f["name"].alias("name"), f["value"].alias("value"), F.lit(facet).alias("facet"))
+
+        short = F.struct(f["name"].alias("name"), F.substring(f["value"], 1, 4).alias("value"), F.lit(True).alias("facet"))
+        return F.when(f["name"] == "p_type", F.array(one(False), short)).otherwise(F.array(one(False)))
+
+    pair = lambda c: F.struct(F.lit(c).alias("name"), F.col(c).alias("value"))
+    return ingest.listed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(pair("p_name"), pair("p_type")).alias("fields")), factory)
+
+
+@query("""
+select p_partkey, 'brand' as name, p_brand as value, false as facet from part union all select p_partkey, 'a.brand', p_brand, false from part
+union all select p_partkey, 'b.brand', p_brand, true from part""")
+def prefixed_fields(spark, sf_dir):
+    copies = ingest.prefixed("brand", F.col("p_brand"), ["", "a.", "b.", "c."], 2, facets=True)
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(copies).alias("f")).select("p_partkey", "f.*")
+
+
+@query(f"""
+with {_PLACES} select 'place' as term, count(*) as count from c union all select 'place>' || r_name, count(*) from c group by r_name
+union all select 'place>' || r_name || '>' || n_name, count(*) from c group by r_name, n_name
+union all select 'place>' || r_name || '>' || n_name || '>' || c_mktsegment, count(*) from c group by r_name, n_name, c_mktsegment""")
+def facet_terms(spark, sf_dir):
+    """All drilldown terms of a hierarchical dimension and the dimension itself."""
+    c = _places(spark, sf_dir)
+    rows = c.df.select(F.explode(ingest.facet_terms("place", c.paths("place"))).alias("t"))
+    return rows.groupBy(F.array_join("t", ">").alias("term")).agg(F.count("*").alias("count"))
+
+
+@query(f"with {_PLACES} select '' as path, count(*) as count from c union all select r_name, count(*) from c group by r_name union all select r_name || '>' || n_name, count(*) from c group by r_name, n_name union all select r_name || '>' || n_name || '>' || c_mktsegment, count(*) from c group by all")
+def facet_with_root(spark, sf_dir):
+    c = _places(spark, sf_dir)
+    return facets.paths_with_root(c, c.df, "place").select(F.array_join("path", ">").alias("path"), "count")
+
+
+@query("select r_name as id, 'region ' || r_regionkey as value from region where r_name <> 'ASIA'")
+def key_values(spark, sf_dir):
+    """A mapping written, changed and read after its commit."""
+    path = shared_folder(spark)
+    values = ingest.KeyValues(spark, path)
+    for r in table(spark, sf_dir, "region").collect():
+        values[r.r_name] = "old"
+    values.commit()
+    for r in table(spark, sf_dir, "region").collect():
+        values[r.r_name] = f"region {r.r_regionkey}"
+    del values["ASIA"]
+    values.commit()
+    return ingest.Table(spark, path).read().select("id", "value")
+
+
+# Codecs.
+
+
+@query("""
+select c_custkey from customer where c_custkey > 0 and c_acctbal > 0 and c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')
+and c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')""")
+def query_codec(spark, sf_dir):
+    """A query of two cores written as JSON, read and run."""
+    q = ComposedQuery("customer", queries={"customer": Range(kind="Double", field="c_acctbal", low=0, with_low=False)}, filters={"orders": [t("o_orderpriority", "1-URGENT")]}, excludes={"orders": [t("o_orderstatus", "P")]})
+    q.match("customer", "orders", "c_custkey", "o_custkey")
+    read = codec.query_from_json(json.loads(json.dumps(codec.query_to_json(q))))
+    return execute(read, cores(spark, sf_dir, "customer", "orders")).rows.select("c_custkey")
+
+
+@query("""
+select distinct c_custkey as key from customer where c_custkey > 0 and c_mktsegment = 'FURNITURE' and c_custkey not in (select o_custkey from orders where o_orderstatus <> 'F' and o_custkey > 0)
+and c_custkey in (select o_custkey from orders where o_custkey > 0)""")
+def relational_codec(spark, sf_dir):
+    """Customers none of whose orders is open, of those that have any: the tree goes through JSON."""
+    is_open = Leaf(core="orders", collect_key="o_custkey", filter_key="o_custkey", query=Bool(clauses=(("MUST", MatchAll()), ("MUST_NOT", t("o_orderstatus", "F")))))
+    ordered = Leaf(core="orders", collect_key="o_custkey", filter_key="o_custkey")
+    mine = Leaf(core="customer", collect_key="c_custkey", filter_key="c_custkey", query=t("c_mktsegment", "FURNITURE"))
+    tree = nodes.from_json(json.loads(json.dumps(nodes.to_json(And(first=And(first=Not(query=Or(first=is_open, second=is_open)), second=ordered), second=mine)))))
+    return evaluate(tree, cores(spark, sf_dir, "orders", "customer")).df
+
+
+@query("""
+select row_number() over (order by o_totalprice desc, o_orderkey) as rank, o_orderkey as id, round(o_totalprice, 2) as price, (select count(*) from orders where o_orderstatus = 'P') as total
+from orders where o_orderstatus = 'P' order by o_totalprice desc, o_orderkey limit 10""")
+def response_codec(spark, sf_dir):
+    """A page of hits as JSON and read again."""
+    q = ComposedQuery("orders", queries={"orders": t("o_orderstatus", "P")}, sort_keys=[SortKey("o_totalprice", True, "Double")], stored=["o_totalprice"], facets={"orders": [Facet("o_orderpriority", 2)]})
+    sent = codec.response_from_json(json.dumps(codec.response_to_json(execute(q, cores(spark, sf_dir, "orders")), q)))
+    rows = [(k, h.id, round(h.o_totalprice[0], 2), sent["total"]) for k, h in enumerate(sent["hits"], 1)]
+    return spark.createDataFrame(rows, "rank long, id long, price double, total long")
+
+
+@query("select distinct o_custkey as key from orders where o_custkey > 0 and o_orderstatus = 'P'")
+def read_key_bitmaps(spark, sf_dir):
+    c = core(spark, sf_dir, "orders")
+    return bitmap_keys(bitmaps(distinct_keys(c.df.where(predicate(c, t("o_orderstatus", "P"))), F.col("o_custkey"))))
+
+
+@query("""
+select * from (values ('c_acctbal', 'double', cast(null as varchar)), ('c_custkey', 'long', null), ('c_mktsegment', 'string', null), ('c_name', 'text', 'standard'), ('c_nationkey', 'int', null)) v(field, kind, analyzer)
+where (select count(*) from customer) > 0""")
+def field_descriptions(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+    return codec.described(Core("customer", df, "c_custkey", {"c_name": Field("text", "c_name")})).select("field", "kind", "analyzer")
+
+
+@query("select unnest(['p_brand', 'p_name', 'p_partkey', 'p_retailprice', 'p_size', 'p_type']) as name")
+def field_names(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in terms.field_names(core(spark, sf_dir, "part"))], "name string")
+
+
+# Places of terms.
+
+
+@query("select p_partkey, array_to_string(string_split_regex(p_name, '\\s+'), '|') as tokens from part")
+def whitespace_analysis(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(analysis.whitespace(F.col("p_name")), "|").alias("tokens"))
+
+
+def _values_core(spark, sf_dir, gap: int) -> Core:
+    df = table(spark, sf_dir, "part").withColumn("texts", F.array("p_name", "p_type", "p_name"))
+    return Core("part", df, "p_partkey", {"texts": Field("text", "texts", gap=gap)})
+
+
+@query("""
+select p_partkey, 'without gap' as kind from part where contains(' ' || lower(p_name) || ' ' || lower(p_type) || ' ', ' ring economy ')
+union all select p_partkey, 'in a value' from part where contains(' ' || lower(p_name) || ' ', ' small ring ')""")
+def phrase_over_values(spark, sf_dir):
+    """A phrase goes on in the next value only where there is no gap; within a value a gap changes nothing."""
+    parts = []
+    for gap, kind, words in ((0, "without gap", ("ring", "economy")), (100, "with gap", ("ring", "economy")), (100, "in a value", ("small", "ring"))):
+        c = _values_core(spark, sf_dir, gap)
+        parts.append(c.df.where(predicate(c, Phrase(field="texts", terms=words))).select("p_partkey", F.lit(kind).alias("kind")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"with {TOKENS} select doc_id, lang from tok where contains(' ' || array_to_string(tok, ' ') || ' ', ' all rights reserved ')")
+def phrase_among_stems(spark, sf_dir):
+    """A phrase over a field whose stems share the places of their words."""
+    ship(spark)
+    c = core(spark, sf_dir, "documents")
+    c.fields = {"text": Field("text", analyzer="dutch")}
+    return c.df.where(predicate(c, Phrase(field="text", terms=("all", "rights", "reserved")))).select("doc_id", "lang")
+
+
+@query(f"""with {TOKENS} select doc_id, 'stemmed' as kind from tok where list_contains(tok, 'rights') or list_contains(tok, 'right')
+union all select doc_id, 'exception' from tok where list_contains(tok, 'rights')""")
+def stemming_exceptions(spark, sf_dir):
+    """A term finds its Dutch stem too, unless it is among the exceptions."""
+    docs = core(spark, sf_dir, "documents")
+    found = []
+    for kind, but in (("stemmed", set()), ("exception", {"rights"})):
+        node = cql.Converter([("text", 1.0)], stemmed={"text"}, unstemmed_words=but).convert("text=rights")
+        found.append(docs.df.where(predicate(docs, node)).select("doc_id", F.lit(kind).alias("kind")))
+    return found[0].unionByName(found[1])
+
+
+# Filters of one core and of several.
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'O' and o_orderpriority = '1-URGENT' and o_totalprice > 50000")
+def filter_in_one_core(spark, sf_dir):
+    q = ComposedQuery("orders", queries={"orders": t("o_orderstatus", "O")}, filters={"orders": [t("o_orderpriority", "1-URGENT"), Range(kind="Double", field="o_totalprice", low=50000, with_low=False)]})
+    return execute(q, cores(spark, sf_dir, "orders")).rows.select("o_orderkey")
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'O' and not o_orderpriority = '1-URGENT' and not o_totalprice > 50000")
+def exclude_in_one_core(spark, sf_dir):
+    q = ComposedQuery("orders", queries={"orders": t("o_orderstatus", "O")}, excludes={"orders": [t("o_orderpriority", "1-URGENT"), Range(kind="Double", field="o_totalprice", low=50000, with_low=False)]})
+    return execute(q, cores(spark, sf_dir, "orders")).rows.select("o_orderkey")
+
+
+@query("select o_orderkey from orders where o_orderstatus <> 'F'")
+def negated_root(spark, sf_dir):
+    q = ComposedQuery("orders", queries={"orders": nodes.negated(t("o_orderstatus", "F"))})
+    return execute(q, cores(spark, sf_dir, "orders")).rows.select("o_orderkey")
+
+
+@query(f"with {_PLACES} select c_custkey from c where r_name = 'ASIA' and n_name = (select min(n_name) from c where r_name = 'ASIA')")
+def hierarchical_value(spark, sf_dir):
+    """A value of several levels, written with '>', in the query language."""
+    c = _places(spark, sf_dir)
+    nation = c.df.where("r_name = 'ASIA'").agg(F.min("n_name")).first()[0]
+    node = cql.Converter([], hierarchical={"place"}, drilldowns={"place"}).convert(f'place="ASIA > {nation}"')
+    return c.df.where(predicate(c, node)).select("c_custkey")
+
+
+@query("select distinct c_custkey as key from customer where c_custkey > 0 and c_mktsegment = 'BUILDING' and c_acctbal > 5000")
+def prefixed_core(spark, sf_dir):
+    """Clauses with the name of a core become a tree over its keys."""
+    node = cql.Converter([], {"c_mktsegment": "string", "c_acctbal": "double"}, cores={"customer": "c_custkey"}).convert("customer.c_mktsegment=BUILDING AND customer.c_acctbal>5000")
+    return evaluate(node, cores(spark, sf_dir, "customer")).df
+
+
+@query("""
+select o_orderkey from orders where o_orderstatus = 'F' and o_custkey > 0 and o_custkey in (select c_custkey from customer where c_mktsegment <> 'BUILDING')""")
+def negated_other_core(spark, sf_dir):
+    own, other = cql.Converter([], {"o_orderstatus": "string"}), cql.Converter([], {"c_mktsegment": "string"})
+    q = cql.composed_from_request("o_orderstatus=F NOT customer.c_mktsegment=BUILDING", "orders", {"orders": own, "customer": other}, [("orders", "customer", "o_custkey", "c_custkey")])
+    return execute(q, cores(spark, sf_dir, "orders", "customer")).rows.select("o_orderkey")
+
+
+@query("""
+select o_orderkey from orders where o_orderkey > 0 and o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')
+and o_orderkey in (select l_orderkey from lineitem where l_linestatus = 'O')""")
+def filters_on_different_rows(spark, sf_dir):
+    """Two clauses of one other core are two filters: a key may meet them in different rows."""
+    own, other = cql.Converter([], {"o_orderstatus": "string"}), cql.Converter([], {"l_returnflag": "string", "l_linestatus": "string"})
+    q = cql.composed_from_request("lineitem.l_returnflag=R AND lineitem.l_linestatus=O", "orders", {"orders": own, "lineitem": other}, [("orders", "lineitem", "o_orderkey", "l_orderkey")])
+    return execute(q, cores(spark, sf_dir, "orders", "lineitem")).rows.select("o_orderkey")
+
+
+@query("""
+select o_orderpriority as name, count(*) as count from orders where o_orderstatus = 'F' and o_custkey > 0 and o_custkey in (select o_custkey from orders where o_totalprice > 100000)
+and o_custkey in (select c_custkey from customer where c_acctbal > 0) and not o_custkey in (select c_custkey from customer where c_custkey > 0 and c_mktsegment = 'BUILDING') group by 1""")
+def request_arguments(spark, sf_dir):
+    """Filters, excludes and a facet whose name is translated, from the arguments of a request. Beside other cores, a filter of the own core is a set of its keys."""
+    own, other = cql.Converter([], {"o_orderstatus": "string", "o_totalprice": "double"}), cql.Converter([], {"c_mktsegment": "string", "c_acctbal": "double"})
+    asked = cql.request("o_orderstatus=F", "orders", {"orders": own, "customer": other}, [("orders", "customer", "o_custkey", "c_custkey")], filters=["o_totalprice>100000"], core_filters=[("customer", "c_acctbal>0")], core_excludes=[("customer", "c_mktsegment=BUILDING")], facets={"orders": ["priority"]}, facet_top=0, field_name=lambda n: f"o_order{n}")
+    counts = asked.restored(execute(asked.query, cores(spark, sf_dir, "orders", "customer")).facets)
+    return counts.where("name = 'priority' and place = 0").select(F.col("label").alias("name"), "count")
+
+
+@query("""
+select c_custkey from customer where c_custkey > 0 and c_mktsegment = 'BUILDING' and c_custkey in (select o_custkey from orders where o_orderstatus = 'P')""")
+def own_filter_by_keys(spark, sf_dir):
+    """A filter on the core of the results becomes a key set beside those of other cores."""
+    q = ComposedQuery("customer", filters={"customer": [t("c_mktsegment", "BUILDING")], "orders": [t("o_orderstatus", "P")]})
+    return execute(q.match("customer", "orders", "c_custkey", "o_custkey"), cores(spark, sf_dir, "customer", "orders")).rows.select("c_custkey")
+
+
+@query("""
+select c_custkey from customer where not (c_custkey > 0 and c_mktsegment = 'BUILDING') and c_custkey > 0 and c_custkey in (select o_custkey from orders where o_orderstatus = 'P')""")
+def self_anti_join(spark, sf_dir):
+    q = ComposedQuery("customer", excludes={"customer": [t("c_mktsegment", "BUILDING")]}, filters={"orders": [t("o_orderstatus", "P")]})
+    return execute(q.match("customer", "orders", "c_custkey", "o_custkey"), cores(spark, sf_dir, "customer", "orders")).rows.select("c_custkey")
+
+
+@query("""
+select c_custkey from customer where c_acctbal > 0 and c_custkey > 0 and c_custkey in (select o_custkey from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R' and l_orderkey > 0))""")
+def relational_filter(spark, sf_dir):
+    """A tree as one filter of a query."""
+    tree = And(first=Leaf(core="lineitem", collect_key="l_orderkey", filter_key="l_orderkey", query=t("l_returnflag", "R")), second=Leaf(core="orders", collect_key="o_custkey", filter_key="o_orderkey"))
+    q = ComposedQuery("customer", queries={"customer": Range(kind="Double", field="c_acctbal", low=0, with_low=False)}, filters={"orders": [tree]})
+    return execute(q.match("customer", "orders", "c_custkey", "o_custkey"), cores(spark, sf_dir, "customer", "orders", "lineitem")).rows.select("c_custkey")
+
+
+@query("""
+select 'l_returnflag' as dim, '' as path, l_returnflag as label, count(*) as count from lineitem
+where l_orderkey > 0 and l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')
+and l_orderkey in (select l_orderkey from lineitem where l_linestatus = 'F' and l_quantity > 40) group by l_returnflag""")
+def facet_join_relational(spark, sf_dir):
+    """Facets of another core whose rows a tree filters by key."""
+    tree = Leaf(core="lineitem", collect_key="l_orderkey", filter_key="l_orderkey", query=must(t("l_linestatus", "F"), Range(kind="Double", field="l_quantity", low=40, with_low=False)))
+    q = ComposedQuery("orders", queries={"orders": t("o_orderpriority", "1-URGENT")}, facet_filters={"lineitem": [tree]}, facets={"lineitem": [Facet("l_returnflag", 0)]})
+    return _flat(execute(q.match("orders", "lineitem", "o_orderkey", "l_orderkey"), cores(spark, sf_dir, "orders", "lineitem")).facets)
+
+
+@query("""
+select 'words' as dim, '' as path, label, count(*) as count from (select distinct p_partkey, unnest([p_type, p_brand, p_name]) as label from part) group by label""")
+def facet_several_values(spark, sf_dir):
+    """One dimension fed by several columns: a row counts once for each of its labels."""
+    df = table(spark, sf_dir, "part").withColumn("words", F.array("p_type", "p_brand", "p_name"))
+    c = Core("part", df, "p_partkey", {"words": Field("facet", "words")})
+    return _flat(execute(ComposedQuery("part", facets={"part": [Facet("words", 0)]}), {"part": c}).facets)
+
+
+# Order, scores, collectors.
+
+
+@query("""
+with n as (select count(*) as n, sum(case when l_returnflag = 'R' then 1 else 0 end) as df from lineitem), m as (select count(*) as n, sum(case when c_mktsegment = 'BUILDING' then 1 else 0 end) as df from customer),
+a as (select distinct l_orderkey as k, ln(1 + (n - df + 0.5) / (df + 0.5)) / 2.2 as other from lineitem, n where l_returnflag = 'R' and l_orderkey > 0),
+b as (select distinct c_custkey as k, ln(1 + (n - df + 0.5) / (df + 0.5)) / 2.2 as other from customer, m where c_mktsegment = 'BUILDING' and c_custkey > 0),
+o as (select o_orderkey, round(0.5 * (0.5 + 0.5 * (1 + coalesce(b.other, 0))) + 0.5 * (1 + coalesce(a.other, 0)), 6) as score from orders left join a on o_orderkey = a.k left join b on o_custkey = b.k)
+select o_orderkey, score from o order by score desc, o_orderkey limit 40""")
+def rank_by_several_keys(spark, sf_dir):
+    """Orders ranked by their lines and by their customers, which join by different keys: one is blended after the other, in the order of the keys' names."""
+    q = ComposedQuery("orders", ranks={"lineitem": t("l_returnflag", "R"), "customer": t("c_mktsegment", "BUILDING")}, stop=40)
+    q.match("orders", "lineitem", "o_orderkey", "l_orderkey").match("orders", "customer", "o_custkey", "c_custkey")
+    return execute(q, cores(spark, sf_dir, "orders", "lineitem", "customer")).hits.select(F.col("id").alias("o_orderkey"), F.round("score", 6).alias("score"))
+
+
+@query("""
+with n as (select count(*) as n, sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as df from orders where o_orderpriority is not null),
+s as (select o_custkey as k, ln(1 + (n - df + 0.5) / (df + 0.5)) / 2.2 as x from (select distinct o_custkey from orders where o_orderpriority = '1-URGENT' and o_custkey > 0), n),
+h as (select k, floor(x / pow(2.0, floor(log2(x)) - 10)) * pow(2.0, floor(log2(x)) - 10) as other from s)
+select c_custkey, round(0.6 + 0.4 * (1 + coalesce(other, 0)), 9) as score from customer left join h on c_custkey = k order by score desc, c_custkey limit 50""")
+def rank_quantised(spark, sf_dir):
+    q = ComposedQuery("customer", ranks={"orders": t("o_orderpriority", "1-URGENT")}, rank_ratio=0.4, stop=50, quantised=True).match("customer", "orders", "c_custkey", "o_custkey")
+    return execute(q, cores(spark, sf_dir, "customer", "orders")).hits.select(F.col("id").alias("c_custkey"), F.round("score", 9).alias("score"))
+
+
+@query("""
+with p as (select *, case when p_size > 25 then p_size end as size, case when p_retailprice > 1000 then p_retailprice end as price, case when p_brand > 'Brand#2' then p_brand end as brand from part)
+select p_partkey, row_number() over (order by brand desc nulls last, coalesce(price, 0) asc, size asc nulls last, p_partkey) as rank from p qualify rank <= 300""")
+def missing_sort_values(spark, sf_dir):
+    """Missing strings and integers are last either way, missing doubles count as 0."""
+    df = table(spark, sf_dir, "part")
+    for name, column, test in (("size", "p_size", "p_size > 25"), ("price", "p_retailprice", "p_retailprice > 1000"), ("brand", "p_brand", "p_brand > 'Brand#2'")):
+        df = df.withColumn(name, F.when(F.expr(test), F.col(column)))
+    q = ComposedQuery("part", sort_keys=[SortKey("brand", True), SortKey("price", False, "Double"), SortKey("size", False, "Int")], stop=300)
+    hits = execute(q, {"part": Core("part", df, "p_partkey")}).hits
+    return hits.select(F.col("id").alias("p_partkey"), F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("rank"))
+
+
+@query(f"""{_BM25}, d as (select count(*) as df from tok where list_contains(tok, 'license')),
+h as (select doc_id, lang, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * len(tok) / av)) as score
+from (select *, cast(len(list_filter(tok, lambda x: x = 'license')) as double) as tf from tok), s, d where tf > 0)
+select doc_id, round(score, 6) as score, row_number() over (order by lang, score, doc_id) as rank from h""")
+def sort_by_score(spark, sf_dir):
+    """By language, then by ascending score, with other parameters of the similarity."""
+    c = core(spark, sf_dir, "documents")
+    c = Core(c.name, c.df, c.id, c.fields, similarity=Similarity(k1=0.9, b=0.4))
+    q = ComposedQuery("documents", queries={"documents": t("text", "license")}, sort_keys=[SortKey("lang"), SortKey("score")], stop=1_000_000)
+    hits = execute(q, {"documents": c}).hits
+    return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("rank"))
+
+
+@query(f"""{_BM25}, d as (select count(*) as df from tok where list_contains(tok, 'license'))
+select doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * sqrt(tf) + len(tok) / av, 6) as score
+from (select *, cast(len(list_filter(tok, lambda x: x = 'license')) as double) as tf from tok), s, d where tf > 0""")
+def own_similarity(spark, sf_dir):
+    """A score of the caller's own."""
+    return scores(spark, sf_dir, t("text", "license"), similarity=Similarity(weight=lambda tf, idf, length, average: idf * F.sqrt(tf) + length / average))
+
+
+@query("""
+select count(*) as total, count(*) as total_with_duplicates, round(sum(o_totalprice), 2) as revenue, count(distinct o_custkey) as customers, max(o_orderkey) as last from orders where o_orderstatus = 'F'""")
+def collectors(spark, sf_dir):
+    """Several aggregates of the caller's own in the pass that counts the hits."""
+    q = ComposedQuery("orders", queries={"orders": t("o_orderstatus", "F")}, collectors={"revenue": F.round(F.sum("o_totalprice"), 2), "customers": F.count_distinct("o_custkey"), "last": F.max("o_orderkey")})
+    return execute(q, cores(spark, sf_dir, "orders")).total
+
+
+class _Busy(KeyNode):
+    """Customers of at least 15 orders."""
+
+    def keys(self, cores, within):
+        many = cores["orders"].df.groupBy(F.col("o_custkey").alias("key")).count().where("count >= 15 and key > 0").select("key")
+        return KeySet(many) if within is None else within & KeySet(many)
+
+
+@query("""
+select c_custkey from customer where c_custkey > 0 and c_mktsegment = 'BUILDING' and c_custkey in (select o_custkey from orders group by o_custkey having count(*) >= 15)""")
+def own_relational_node(spark, sf_dir):
+    tree = And(first=Leaf(core="customer", collect_key="c_custkey", filter_key="c_custkey", query=t("c_mktsegment", "BUILDING")), second=_Busy())
+    q = ComposedQuery("customer", relational=tree).match("customer", "orders", "c_custkey", "o_custkey")
+    return execute(q, cores(spark, sf_dir, "customer", "orders")).rows.select("c_custkey")
+
+
+# Suggestions, spelling, clusters.
+
+
+_SUGGESTED = f"""with {_SUGGEST.replace("from f, a order by", "from f, a where WANTED order by")} select value, type, round(score, 6) as score from r"""
+
+
+@query(_SUGGESTED.replace("WANTED", "type = 'ECONOMY'"))
+def suggestions_filtered(spark, sf_dir):
+    return suggest.suggest(_names(spark, sf_dir), "re", filters={"type": "ECONOMY"}).select("value", "type", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+select 'registered' as kind, * from ({_SUGGESTED.replace("WANTED", "(value, type) in (select (p_name, p_type) from part where p_partkey <= 40)")})
+union all select 'unknown', * from ({_SUGGESTED.replace("WANTED", "true")})""")
+def suggestions_by_key_set(spark, sf_dir):
+    """Of a named set of keys; a name that isn't registered filters nothing."""
+    all_of_them = suggest.Suggester(_names(spark, sf_dir))
+    all_of_them.register("first", table(spark, sf_dir, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("key")))
+    found = [all_of_them.suggest("re", name).select(F.lit(kind).alias("kind"), "value", "type", F.round("score", 6).alias("score")) for kind, name in (("registered", "first"), ("unknown", "nobody"))]
+    return found[0].unionByName(found[1])
+
+
+@query("select count(*) as suggestions, 1 as key_sets from (select distinct p_type, p_name from part where p_name is not null)")
+def suggestion_info(spark, sf_dir):
+    one = suggest.Suggester(_names(spark, sf_dir))
+    one.register("all", table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")))
+    return one.info().select("suggestions", "key_sets")
+
+
+@query(f"""with {TOKENS}, e as (select doc_id, unnest(list_distinct(tok)) as term from tok), c as (select term, count(*) as count from e group by term),
+w as (select unnest(['right', 'rights', 'apach']) as word), o as (select word, coalesce(count, 0) as own from w left join c on word = term),
+m as (select word, term, count, own, damerau_levenshtein(term, word) as d from c, o where term <> word and substring(term, 1, 1) = substring(word, 1, 1) and abs(len(term) - len(word)) <= 2),
+r as (select *, 1 - d / least(len(term), len(word)) as similarity from m where d <= 2),
+q as (select 'more_popular' as mode, * from r where similarity >= 0.5 and count > own union all select 'not_in_index', * from r where similarity >= 0.5 and own = 0)
+select mode, word, term as suggestion, count from q qualify row_number() over (partition by mode, word order by similarity desc, count desc, term) <= 3""")
+def spelling_modes(spark, sf_dir):
+    ship(spark)
+    c = core(spark, sf_dir, "documents")
+    found = [terms.spelling(c, "text", ["right", "rights", "apach"], 3, mode=m).select(F.lit(m).alias("mode"), "word", "suggestion", "count") for m in ("more_popular", "not_in_index")]
+    return found[0].unionByName(found[1])
