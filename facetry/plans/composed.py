@@ -22,6 +22,7 @@ from facetry.operators.ranking import SortKey, blended, deduplicated, joined_ord
 from facetry.operators.terms import spelling
 from facetry.plans.compile import predicate, with_scores
 from facetry.plans.nodes import And, Drilldown, Leaf, MatchAll, Node, Not, Or, must
+from facetry.session import shared_folder
 
 _RELATIONAL = (And, Or, Not, Leaf, KeyNode)
 
@@ -105,7 +106,8 @@ class ComposedQuery:
         return [Drilldown(dim=d, path=tuple(p)) for d, p in self.drilldowns.get(core, [])]
 
 
-def execute(query: ComposedQuery, cores: dict[str, Core]) -> Response:
+def execute(query: ComposedQuery, cores: dict[str, Core], *, keep: bool = False) -> Response:
+    """With `keep` the matches are written to the shared folder once, so that hits, total, facets and keys don't repeat the joins that find them."""
     query.validate()
     core = cores[query.results_from]
     main = query.queries.get(query.results_from, MatchAll())
@@ -118,6 +120,10 @@ def execute(query: ComposedQuery, cores: dict[str, Core]) -> Response:
         tests += [predicate(core, f) for f in query.filters.get(core.name, [])]
         tests += [~predicate(core, f) for f in query.excludes.get(core.name, [])]
     matched = rows.where(reduce(lambda a, b: a & b, tests))
+    if keep:
+        path = shared_folder(matched.sparkSession)
+        matched.write.parquet(path)
+        matched = matched.sparkSession.read.schema(matched.schema).parquet(path)
     hits, total = _hits(query, cores, matched, main)
     found = _facets(query, cores, matched)
     keys = distinct_keys(matched, core.col(query.export_key)) if query.export_key else None
@@ -231,7 +237,8 @@ def _facets(query: ComposedQuery, cores: dict[str, Core], matched: DataFrame) ->
             keys = KeySet(distinct_keys(matched, cores[result].col(query.key_name(result, name))))
             for k in [keys, *(evaluate(n, cores) for n in nodes if isinstance(n, _RELATIONAL))]:
                 rows = k.keep(rows, core.col(query.key_name(name, result)))
-        parts += [facet_op.facet_counts(core, rows, f) for f in wanted]
+        if wanted:
+            parts.append(facet_op.facets_counted(core, rows, wanted))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

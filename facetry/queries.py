@@ -553,7 +553,7 @@ def streaming_upsert(spark, sf_dir):
     folder = shared_folder(spark)
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events*.parquet").where("user_id is not null").selectExpr("user_id as id", "event_type", "event_id as seq")
-    out = ingest.Table(spark, f"{folder}/table")
+    out = ingest.BucketedTable(spark, f"{folder}/table", buckets=8)
     upsert_stream(stream, out, f"{folder}/checkpoint").awaitTermination()
     return out.read()
 
@@ -685,14 +685,14 @@ def query_codec(spark, sf_dir):
 
 
 @query("""
-select distinct c_custkey as key from customer where c_custkey > 0 and c_mktsegment = 'FURNITURE' and c_custkey not in (select o_custkey from orders where o_orderstatus <> 'F' and o_custkey > 0)
+select distinct c_custkey as key from customer where c_custkey > 0 and c_mktsegment = 'FURNITURE' and c_custkey not in (select o_custkey from orders where o_totalprice > 480000 and o_custkey > 0)
 and c_custkey in (select o_custkey from orders where o_custkey > 0)""")
 def relational_codec(spark, sf_dir):
-    """Customers none of whose orders is open, of those that have any: the tree goes through JSON."""
-    is_open = Leaf(core="orders", collect_key="o_custkey", filter_key="o_custkey", query=Bool(clauses=(("MUST", MatchAll()), ("MUST_NOT", t("o_orderstatus", "F")))))
+    """Customers none of whose orders is of the highest prices, of those that have any: the tree goes through JSON."""
+    dear = Leaf(core="orders", collect_key="o_custkey", filter_key="o_custkey", query=Range(kind="Double", field="o_totalprice", low=480000, with_low=False))
     ordered = Leaf(core="orders", collect_key="o_custkey", filter_key="o_custkey")
     mine = Leaf(core="customer", collect_key="c_custkey", filter_key="c_custkey", query=t("c_mktsegment", "FURNITURE"))
-    tree = nodes.from_json(json.loads(json.dumps(nodes.to_json(And(first=And(first=Not(query=Or(first=is_open, second=is_open)), second=ordered), second=mine)))))
+    tree = nodes.from_json(json.loads(json.dumps(nodes.to_json(And(first=And(first=Not(query=Or(first=dear, second=dear)), second=ordered), second=mine)))))
     return evaluate(tree, cores(spark, sf_dir, "orders", "customer")).df
 
 

@@ -167,9 +167,14 @@ def numerated(terms: DataFrame, dictionary: DataFrame | None = None) -> DataFram
     return known.unionByName(added)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @dataclass
 class Table:
-    """A table of published versions at `path`."""
+    """A table of published versions at `path`. The last version and the one before, which readers may still use, are kept."""
 
     spark: SparkSession
     path: str
@@ -179,26 +184,70 @@ class Table:
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[dict[str, str]]:
+        """Of the last versions, newest first: the folder of each bucket."""
+        at, fs = self._pointer()
+        return [json.loads(r.value) for r in self.spark.read.text(at.toString(), wholetext=False).collect()] if fs.exists(at) else []
+
+    def _point(self, manifest: dict[str, str]) -> None:
+        before = self._manifests()
+        at, fs = self._pointer()
+        out = fs.create(at, True)
+        out.write(bytearray("\n".join(json.dumps(m) for m in [manifest, *before[:1]]).encode()))
+        out.close()
+        used = {path for m in [manifest, *before[:1]] for path in m.values()}
+        for path in {path for m in before[1:] for path in m.values()} - used:
+            _delete(self.spark, path)
+
     def read(self) -> DataFrame | None:
         """The version that is published now; None before the first."""
-        at, fs = self._pointer()
-        if not fs.exists(at):
-            return None
-        return self.spark.read.parquet(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        found = self._manifests()
+        return self.spark.read.parquet(*found[0].values()) if found else None
 
     def publish(self, df: DataFrame) -> None:
         version = f"{self.path}/v-{uuid.uuid4().hex}"
         df.write.parquet(version)
-        at, fs = self._pointer()
-        out = fs.create(at, True)
-        out.write(bytearray(version.encode()))
-        out.close()
+        self._point({"all": version})
 
     def upsert(self, changes: DataFrame, id_col: str = "id", seq_col: str = "seq") -> None:
         old = self.read()
         self.publish(upserted(old if old is not None else changes.limit(0), changes, id_col, seq_col))
 
 
+@dataclass
+class BucketedTable(Table):
+    """A table in `buckets` by the hash of the id: an upsert rewrites only buckets that the changes touch. Rows without an id are appended."""
+
+    buckets: int = 64
+
+    def upsert(self, changes: DataFrame, id_col: str = "id", seq_col: str = "seq") -> None:
+        found = self._manifests()
+        manifest = dict(found[0]) if found else {}
+        bucket = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(self.buckets))).cast("int")
+        touched = sorted(r[0] for r in changes.select(bucket).distinct().collect())
+        if not touched and found:
+            return
+        old = [manifest[str(b)] for b in touched if str(b) in manifest]
+        table = self.spark.read.parquet(*old) if old else changes.limit(0)
+        version = f"{self.path}/v-{uuid.uuid4().hex}"
+        result = upserted(table, changes, id_col, seq_col)
+        result.withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket").parquet(version)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(version)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for b in touched:
+            part = f"{version}/__bucket={b}"
+            if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(part)):
+                manifest[str(b)] = part
+            else:
+                manifest.pop(str(b), None)
+        if not manifest:  # a table without rows still has its columns
+            manifest["empty"] = f"{version}-empty"
+            result.limit(0).write.parquet(manifest["empty"])
+        elif len(manifest) > 1:
+            manifest.pop("empty", None)
+        self._point(manifest)
+
+
 class KeyValues:
     """A persistent mapping of strings; changes are seen at once by its own reads and kept by `commit`."""
 

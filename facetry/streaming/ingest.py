@@ -2,8 +2,8 @@
 
 A trigger by time takes the place of a commit by timer and `maxFilesPerTrigger` that of a commit by count. The last sequence number of an id
 wins, whatever batch it comes in: each batch is merged with the table by that number, so a batch that runs again changes
-nothing. A deletion leaves no trace: an older version that comes in a later batch than the deletion is taken as new. Each batch rewrites the
-table, so batches should be large against it.
+nothing. A deletion leaves no trace: an older version that comes in a later batch than the deletion is taken as new. A batch rewrites the
+buckets that it touches of a `BucketedTable`, and all of a plain `Table`.
 """
 
 from __future__ import annotations

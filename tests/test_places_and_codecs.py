@@ -296,3 +296,31 @@ def test_flat_facets_of_plain_columns(spark):
     df = spark.createDataFrame([(1, "x"), (2, ""), (3, None), (4, "x"), (5, "y")], "id long, f string")
     got = facets.facet_counts(Core("c", df), df, Facet("f", 0)).collect()
     assert sorted((r.label, r["count"], r.path, r.level) for r in got) == [("x", 2, [], 1), ("y", 1, [], 1)]
+
+
+def test_several_facets_in_one_pass_equal_single_ones(spark):
+    df = spark.createDataFrame([(k, "xy"[k % 2], ["p", "q"][: k % 3], [["r", str(k % 4)], ["s"]]) for k in range(20)], "id long, f string, g array<string>, h array<array<string>>")
+    core = Core("c", df, fields={"h": Field("facet", "h", hierarchical=True)})
+    wanted = [Facet("f", 1), Facet("g", 0), Facet("h", 2), Facet("h", 0, ("r",)), Facet("f", 0)]
+    rows = lambda d: sorted((r.dim, tuple(r.path), r.label, r.level, r["count"]) for r in d.collect())
+    assert rows(facets.facets_counted(core, df, wanted)) == sorted(x for f in wanted for x in rows(facets.facet_counts(core, df, f)))
+    q = ComposedQuery("c", queries={"c": Term(field="f", value="x")}, facets={"c": wanted})
+    lazy, kept = execute(q, {"c": core}), execute(q, {"c": core}, keep=True)
+    assert rows(lazy.facets) == rows(kept.facets) and lazy.total.first() == kept.total.first() and lazy.hits.collect() == kept.hits.collect()
+
+
+def test_buckets_are_rewritten_only_where_touched(spark, tmp_path):
+    table = D.BucketedTable(spark, str(tmp_path / "b"), buckets=4)
+    row = "id long, v string, seq long, deleted boolean"
+    table.upsert(spark.createDataFrame([(k, "a", 1, False) for k in range(20)] + [(None, "n", 1, False)], row))
+    first = table._manifests()[0]
+    table.upsert(spark.createDataFrame([(3, "b", 2, False), (None, "m", 2, False)], row))
+    second = table._manifests()[0]
+    assert sum(first[k] != second[k] for k in first) == 2 and len(first) == 5
+    got = sorted((r.id is None, r.id or 0, r.v) for r in table.read().collect())
+    assert got == sorted([(False, k, "b" if k == 3 else "a") for k in range(20)] + [(True, 0, "n"), (True, 0, "m")])
+    table.upsert(spark.createDataFrame([(k, "x", 3, True) for k in range(20)], row))
+    assert table.read().count() == 2 and sorted(table.read().columns) == ["id", "seq", "v"]
+    other = D.BucketedTable(spark, str(tmp_path / "e"))
+    other.upsert(spark.createDataFrame([], row))
+    assert other.read().count() == 0
