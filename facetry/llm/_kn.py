@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from facetry.llm._text import Words, padded
+from facetry.llm._text import Words, distinct, padded
 
 COUNTS = "cls int, code long, n long"
 COUNT_SCHEMA = pa.schema([("cls", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
@@ -52,9 +52,9 @@ class Counter:
         """Counts all words at the places `chosen`."""
         if not len(chosen):
             return
-        _, first, times = np.unique(words.hash[chosen], return_index=True, return_counts=True)
+        first, back = distinct(words.hash[chosen])
         codes, length = word_codes(words, chosen[first], order)
-        self._put(cls, codes, np.repeat(times, length))
+        self._put(cls, codes, np.repeat(np.bincount(back), length))
 
     def _put(self, cls: int, codes: np.ndarray, n: np.ndarray) -> None:
         part = self._sum([(codes, n)])
@@ -69,10 +69,10 @@ class Counter:
     def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         codes = np.concatenate([c for c, _ in parts])
         n = np.concatenate([n for _, n in parts])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], n[order]
-        begin = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-        return codes[begin], (np.add.reduceat(n, begin) if len(begin) else n)
+        first, back = distinct(codes)
+        kinds, total = codes[first], np.bincount(back, weights=n, minlength=len(first)).astype(np.int64)
+        order = np.argsort(kinds)
+        return kinds[order], total[order]
 
     def batches(self, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
         for cls, parts in self.parts.items():
@@ -97,7 +97,7 @@ def _at(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class _Level:
     def __init__(self, codes: np.ndarray, n: np.ndarray):
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes)
         self.codes, self.n = codes[order], n[order].astype(np.float64)
         self.d = _discount(n)
         context = self.codes >> np.int64(8)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -91,6 +92,16 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, starts, ends, doc, hashes, n_docs)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, back): the first place of each distinct value, and for each value which of these it is. By a hash table, without sorting."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    back, kinds = pd.factorize(values)
+    first = np.empty(len(kinds), dtype=np.int64)
+    first[back[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return first, back
+
+
 def chunks(batch: pa.RecordBatch, column: str, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past last row, bytes, offsets) of groups of rows of about CHUNK_BYTES."""
     data, offsets = raw_bytes(batch.column(batch.schema.get_field_index(column)), lower)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm._kn import COUNTS, NONE, ClassModel, Counter, Shared, WordScores, collect_counts
 from facetry.llm._shared import in_arrow, require
-from facetry.llm._text import Words, chunked_words
+from facetry.llm._text import Words, chunked_words, distinct
 
 ORDER, SHARED_ORDER = 5, 3
 #: First code points of ranges and their scripts, in order.
@@ -68,7 +68,7 @@ def _count(names: list[str]):
             fits = batch.column("fits").to_numpy(zero_copy_only=False)
             for first, past, words in chunked_words(batch, "text"):
                 of = lang[first:past][words.doc]
-                _, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
+                one, back = distinct(words.hash)
                 script = scripts(words, one)[back]
                 np.add.at(seen, (of, script), 1)
                 lettered = script != NO_SCRIPT
@@ -109,22 +109,27 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_
     return Model(names, ClassModel(Shared(*by.get(len(names), NONE), SHARED_ORDER), classes, ORDER), allowed.T)
 
 
-def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label of every word. Rows of `scores` are words, text i has the rows bounds[i]:bounds[i+1]; all texts advance together."""
+def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, alone: int = 8) -> np.ndarray:
+    """Best label of every word. Rows of `scores` are words, text i has the rows bounds[i]:bounds[i+1]. Texts advance together, but for the `alone` longest: few are as long."""
     n, labels = scores.shape
     length = np.diff(bounds)
-    back = np.empty((n, labels), dtype=np.int16)
     by_length = np.argsort(-length, kind="stable")
+    out = np.empty(n, dtype=np.int64)
+    for i in by_length[:alone].tolist():
+        if length[i]:
+            out[bounds[i] : bounds[i + 1]] = _path(scores[bounds[i] : bounds[i + 1]].tolist(), penalty)
+    by_length = by_length[alone:]
     longest = length[by_length]
-    active = int((longest > 0).sum())
+    steps = int(longest[0]) if len(longest) else 0
+    if not steps:
+        return out
+    active_at = np.searchsorted(-longest, -np.arange(steps), side="left").tolist()  # texts with more than t words
     first = bounds[:-1][by_length]
-    value = scores[first[:active]].astype(np.float64)
+    value = scores[first[: active_at[0]]].astype(np.float64)
+    back = np.empty((n, labels), dtype=np.int16)
     stay = np.arange(labels)
-    t = 1
-    while True:
-        active = int(np.searchsorted(-longest, -t, side="left"))  # texts with more than t words
-        if not active:
-            break
+    for t in range(1, steps):
+        active = active_at[t]
         value_t = value[:active]
         best = value_t.argmax(axis=1)
         jump = value_t[np.arange(active), best] - penalty
@@ -132,12 +137,9 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
         rows = first[:active] + t
         back[rows] = np.where(move, best[:, None], stay)
         value[:active] = np.where(move, jump[:, None], value_t) + scores[rows]
-        t += 1
-    out = np.empty(n, dtype=np.int64)
-    some = np.flatnonzero(longest > 0)
-    label = value[: len(some)].argmax(axis=1)
-    for t in range(int(longest[0]) - 1 if len(longest) else -1, -1, -1):
-        active = int(np.searchsorted(-longest, -t, side="left"))
+    label = value.argmax(axis=1)
+    for t in range(steps - 1, -1, -1):
+        active = active_at[t]
         rows = first[:active] + t
         out[rows] = label[:active]
         if t:
@@ -145,6 +147,27 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return out
 
 
+def _path(rows: list[list[float]], penalty: float) -> list[int]:
+    """Best labels of one text."""
+    value, moves = rows[0], []
+    for row in rows[1:]:
+        best = max(value)
+        jump = best - penalty
+        if min(value) < jump:
+            moves.append((value.index(best), [v < jump for v in value]))
+            value = [(jump if v < jump else v) + s for v, s in zip(value, row, strict=True)]
+        else:
+            moves.append(None)
+            value = [v + s for v, s in zip(value, row, strict=True)]
+    label = value.index(max(value))
+    out = [label]
+    for move in reversed(moves):
+        if move and move[1][label]:
+            label = move[0]
+        out.append(label)
+    return out[::-1]
+
+
 SPANS = "doc_id long, span int, lang string, first_word int, n_words int"
 
 
@@ -165,7 +188,7 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             ids = batch.column("doc_id")
             for first, past, words in chunked_words(batch, "text"):
                 bounds = words.bounds()
-                _, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
+                one, back = distinct(words.hash)
                 script = scripts(words, one)
                 score = np.zeros((len(one), len(labels)))
                 if known:

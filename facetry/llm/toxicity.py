@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm._shared import in_arrow, require, sized, written
-from facetry.llm._text import Words, chunked_words, mix
+from facetry.llm._text import Words, chunked_words, distinct, mix
 
 FOLDS = 5
 _HASH_RANGE = 1 << 20
@@ -110,7 +110,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, v, u = words.hash.view(np.int64), preceding(words), preceding(words, 2)
             doc = words.doc.astype(np.uint64)
             pair = pair_key(v, w).view(np.uint64) ^ (of.astype(np.uint64) * _D)
-            _, one = np.unique(mix(pair ^ mix(u.view(np.uint64) * _U)), return_index=True)
+            one, _ = distinct(mix(pair ^ mix(u.view(np.uint64) * _U)))
             one = one[np.argsort(pair[one], kind="stable")]
             docs = np.zeros(len(one), np.int64)
             docs[np.flatnonzero(np.append(True, pair[one][1:] != pair[one][:-1]))] = _doc_counts(pair, doc)[1]
@@ -131,7 +131,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _doc_counts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct key and its number of documents, by ascending key."""
-    _, once = np.unique(mix(key ^ mix(doc * _U + _V)), return_index=True)
+    once, _ = distinct(mix(key ^ mix(doc * _U + _V)))
     _, at, n = np.unique(key[once], return_index=True, return_counts=True)
     return once[at], n
 
@@ -139,8 +139,8 @@ def _doc_counts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, words in chunked_words(batch, "text"):
-            h, n = np.unique(words.hash.view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
+            first, back = distinct(words.hash)
+            yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)[first], pa.int64()), pa.array(np.bincount(back), pa.int64())], names=["word", "n"])
 
 
 def _absolute(once: int, twice: int) -> float:
