@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,40 +40,29 @@ def fold(text: Column) -> Column:
     return out
 
 
-@lru_cache(maxsize=1)
-def _sources() -> dict[str, str]:
-    """For each folded text of one or two letters the characters that `fold` turns into it."""
-    one = dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | dict(LONG_FOLDS)
-    found: dict[str, str] = {}
-    for code in [*range(0x41, 0xD800), *range(0xFF00, 0x10000)]:
-        c = chr(code)
-        low = "".join(one.get(x, x) for x in c.lower())
-        if low[:1].isalnum() and (low != c or len(low) > 1):
-            for key in {low, low[:1] if len(low) > 1 and not low.isalnum() else low}:
-                found[key] = found.get(key, "") + c
-    return found
-
-
 def word_pattern(word: str) -> str | None:
-    """A regular expression that finds every text of which `fold` holds the word, and few others: raw texts need no folding first. None for a word in which pairs of letters that may be one overlap."""
-    sources = _sources()
-
-    def any_of(*texts: str) -> str:
-        return "[" + "".join(re.escape(x) for x in dict.fromkeys("".join(texts))) + "]"
+    """A regular expression that finds every text of which `fold` holds the word, and few others: raw texts need no folding first.
 
-    pairs = [i for i in range(len(word) - 1) if word[i : i + 2] in sources]
+    Any character beyond ASCII may stand for any letter, and for two that one folds to. None for a word in which such pairs overlap.
+    """
+    other = r"\x{80}-\x{10FFFF}"
+    pairs = [i for i in range(len(word) - 1) if word[i : i + 2] in {two for _, two in LONG_FOLDS}]
     if any(b - a == 1 for a, b in zip(pairs, pairs[1:], strict=False)):
         return None
+
+    def letter(c: str) -> str:
+        if not c.isascii():
+            return f"[{other}]"
+        return f"[{c.lower()}{c.upper()}{other}]" if c.isalpha() else f"[{re.escape(c)}{other}]"
+
     out, i = "", 0
     while i < len(word):
-        c = word[i]
         if i in pairs:
-            out += f"(?:{any_of(sources[word[i : i + 2]])}|{any_of(c, sources.get(c, ''))}{any_of(word[i + 1], sources.get(word[i + 1], ''))})"
+            out += f"(?:{letter(word[i])}{letter(word[i + 1])}|[{other}])"
             i += 2
-            continue
-        half = "".join(xs for pair, xs in sources.items() if i == len(word) - 1 and len(pair) == 2 and pair[0] == c)
-        out += any_of(c, sources.get(c, ""), half)
-        i += 1
+        else:
+            out += letter(word[i])
+            i += 1
     return out
 
 

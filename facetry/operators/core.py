@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetry.functions.analysis import ANALYZERS, TOKEN, fold, positions, standard, word_pattern
+from facetry.functions.analysis import ANALYZERS, TOKEN, positions, standard, word_pattern
 
 KINDS = ("text", "string", "set", "int", "long", "double", "numeric", "key", "facet", "geo")
 
@@ -127,7 +127,7 @@ class Core:
         role = self.role(name)
         if name in self.ready or role.kind != "text" or role.analyzer != "standard" or self.is_array(name):
             return F.size(self.tokens(name))
-        return F.coalesce(F.regexp_count(fold(self.col(name)), F.lit(TOKEN)), F.lit(0))
+        return F.coalesce(F.regexp_count(F.lower(self.col(name)), F.lit(TOKEN)), F.lit(0))
 
     def paths(self, dim: str) -> Column:
         """Facet paths of a dimension: an array of arrays of labels. A plain value is a path of one label."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions.stemming import damerau_distance
 from facetry.operators.core import Core
+from facetry.session import shared_folder
 
 
 def term_counts(core: Core, field: str) -> DataFrame:
@@ -72,14 +73,16 @@ def similar_documents(core: Core, field: str, doc_id, limit: int = 10, common_sh
     row has no rare term; then all its common terms are required.
     """
     own = core.df.where(F.col(core.id) == doc_id)
-    wanted = own.select(F.explode(core.tokens(field)).alias("term")).agg(F.array_sort(F.collect_set("term")).alias("wanted"))
-    _, rows = core.tokenised([field], core.df)
-    tok = F.col("__tok0") if "__tok0" in rows.columns and field not in core.ready else core.tokens(field)
-    # One pass: what a row shares with the few wanted terms, and the lengths of all rows for the statistics.
-    shared = rows.crossJoin(F.broadcast(wanted)).select(F.col(core.id).alias("id"), F.size(tok).alias("dl"), F.filter(tok, lambda x: F.array_contains("wanted", x)).alias("hit"))
-    postings = shared.select("id", "dl", F.explode(F.array_distinct("hit")).alias("term"), "hit").select("id", "dl", "term", F.size(F.filter("hit", lambda x: x == F.col("term"))).alias("tf"))
-    length = F.nullif(core.length(field), F.lit(0))
-    stats = core.df.agg(F.count(length).alias("n"), F.avg(length).alias("avg"))
+    wanted = own.select(F.explode(core.tokens(field)).alias("term")).distinct().select(F.col("term").alias("wanted"))
+    tokens = core.df.select(F.col(core.id).alias("id"), core.tokens(field).alias("tok"))
+    words = tokens.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
+    # Terms are made once: the counts of the wanted ones and, under null, of all others are kept for the statistics and the scores. One row's terms are few enough to broadcast.
+    path = shared_folder(core.df.sparkSession)
+    words.join(F.broadcast(wanted), F.col("term") == F.col("wanted"), "left").groupBy("id", "dl", F.col("wanted").alias("term")).agg(F.count("*").alias("tf")).write.parquet(path)
+    counted = core.df.sparkSession.read.parquet(path)
+    postings = counted.where("term is not null")
+    lengths = counted.groupBy("id").agg(F.first("dl").alias("dl"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats))
     rare = F.col("df") <= F.ceil(F.col("n") * F.lit(common_share))

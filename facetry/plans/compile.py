@@ -136,14 +136,16 @@ def with_scores(core: Core, df: DataFrame, node: Node, name: str = "score") -> D
     columns = [c for c in df.columns if c != name]
     texts = [f for f, drill in fields if not drill and core.ordered(f)]
     terms = list(dict.fromkeys(t for x in leaves for t in _terms(x)))
-    stats, names = [], {}
+    stats, names, lengths = [], {}, []
     for k, ((f, drill), leaf) in enumerate(fields.items()):
-        length = _length(core, f, leaf)
+        lengths.append(_length(core, f, leaf).alias(f"__l{k}"))
+        length = F.col(f"__l{k}")
         stats += [F.sum((length > 0).cast("long")).alias(f"__n{k}"), F.avg(F.when(length > 0, length)).alias(f"__avg{k}")]
         names[f, drill] = k
     for k, t in enumerate(terms):
-        stats.append(F.sum(predicate(core, t).cast("long")).alias(f"__df{k}"))
-    row = core.df.agg(*stats)
+        lengths.append(predicate(core, t).cast("long").alias(f"__p{k}"))
+        stats.append(F.sum(f"__p{k}").alias(f"__df{k}"))
+    row = core.df.select(*lengths).agg(*stats)
     idf = {}
     for k, t in enumerate(terms):
         n = F.col(f"__n{names[_field(t), isinstance(t, Drilldown)]}")

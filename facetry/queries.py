@@ -45,8 +45,15 @@ _IDS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey
 _FIELDS = {"documents": {"text": Field("text")}, "part": {"p_name": Field("text", "p_name")}}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a file that can't be split over all cores are dealt out before their texts are analysed; a large table comes in enough parts as it is."""
+    cores_ = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores_) if df.rdd.getNumPartitions() < cores_ else df
+
+
 def core(spark: SparkSession, sf_dir: str, name: str) -> Core:
-    return Core(name, table(spark, sf_dir, name), _IDS[name], _FIELDS.get(name, {}))
+    df = table(spark, sf_dir, name)
+    return Core(name, spread(df) if name == "documents" else df, _IDS[name], _FIELDS.get(name, {}))
 
 
 def cores(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Core]:
