@@ -46,8 +46,8 @@ def test_equals_brute_force(spark, tmp_path):
     gone = {i for g in near([(r[0], r[1]) for r in kept], 3, 0.5) for i in g[1:]}
     kept = [r for r in kept if r[0] not in gone]
     plain = [(k, decontaminate.normalise(t)) for k, t in items]
-    matcher = decontaminate.Matcher([(k, t, int(0.1 * len(t))) for k, t in plain])
-    kept = [r for r in kept if not matcher.matches(decontaminate.normalise(r[1]))]
+    patterns = [(decontaminate.Pattern(t, 0, len(t), 1, None), len(t) // 10) for _, t in plain]
+    kept = [r for r in kept if all(p.distance(decontaminate.normalise(r[1])) > k for p, k in patterns)]
     tokens = {s: sum(len(r[1].split()) for r in kept if r[3] == s) for s in "ab"}
     plan, _ = brute_schedule([(r[0], r[3], r[1]) for r in kept], {s: t**0.7 for s, t in tokens.items()}, 20_000)
     kept = [r for r in kept if plan[r[0]][1] is not None]
