@@ -1,13 +1,15 @@
 """Near duplicates: n-gram Jaccard join with signature trees.
 
 Every document becomes the set of its word n-grams. Documents with equal sets are one class, which is searched for once.
-Two joins with the same code narrow the classes down:
-1. The `sketch` smallest n-gram hashes of a class are a sample of its set. Classes meet in blocks, one for each of their
-   shared sample hashes, and are linked where their samples are similar enough: a pair at `threshold` has as many sample
-   hashes in common as that asks for with a probability of about 99 % (4 of 16 for a threshold of 0.5, see `loosened`).
-   Of a class that needs k common hashes the k - 1 most frequent ones get no block: a pair with k in common meets in a
-   rarer one of them.
-2. Every linked cluster of classes is joined exactly on the full sets, which are sent only once.
+1. All n-grams of all texts meet in buckets. A class of which less than `threshold` is in other classes too has no similar one
+   and goes. Nothing is sampled; a bucket compares 32 more bits of a hash, so a rare clash keeps a class but drops none.
+2. Two joins with the same code link most of the classes that are left cheaply. The `sketch` smallest n-gram hashes of a class are
+   a sample of its set; classes with similar samples are clusters, see `loosened`, and clusters are joined on the full sets. Of a
+   class that needs k common hashes the k - 1 most frequent ones get no block.
+3. What samples missed is found by all n-grams. A link between two of the groups so far has at least `threshold` of either set
+   in n-grams that several groups have; classes with fewer go, in rounds. Of such n-grams by ascending frequency, the first ones
+   of a class, all but the last ceil(threshold * size) - 1, hold one of any pair that is left. Classes which share one of these are
+   clusters again, and these are joined on the full sets. So every pair that meets the threshold is in one group.
 A join of a block drops n-grams that only one member has and members of which too few n-grams are left; both are exact.
 The rest becomes a signature tree, whose nodes hold the OR of their members' bitmaps and their range of set sizes. A dual
 traversal drops node pairs whose largest possible overlap is too small or which are connected already, so a block of
@@ -37,6 +39,8 @@ from facetry.llm._shared import in_arrow, own_name, require, sized, written
 from facetry.llm._text import chunked_words, grams, mix
 
 _ONE = np.uint64(1)
+#: A bucket of n-grams has about so many; a worker holds one at a time.
+BUCKET_GRAMS = 1 << 21
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -82,7 +86,7 @@ def join_block(sets: list[np.ndarray], threshold: float, bits: int = 4096, sides
     owner = np.repeat(np.arange(n), size)
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = times[code] > 1
-    members = np.flatnonzero((np.bincount(owner[common], minlength=n) >= threshold * size) & (size > 0))
+    members = np.flatnonzero((np.bincount(owner[common], minlength=n) >= threshold * size - 1e-9) & (size > 0))
     if len(members) < 2:
         return out
     order = members[np.argsort(size[members], kind="stable")]
@@ -101,7 +105,7 @@ def join_block(sets: list[np.ndarray], threshold: float, bits: int = 4096, sides
         c = comp[begin[x]]
         if (comp[begin[x] : end[x]] == c).all() and (comp[begin[y] : end[y]] == c).all():
             continue
-        if most[x] < threshold * least[y] or most[y] < threshold * least[x]:
+        if most[x] < threshold * least[y] - 1e-9 or most[y] < threshold * least[x] - 1e-9:
             continue
         overlap = min(int(np.bitwise_count(maps[x] & maps[y]).sum()) + min(excess[x], excess[y]), most[x], most[y])
         if overlap < share * (least[x] + least[y]) - 1e-9:
@@ -136,6 +140,12 @@ def join_block(sets: list[np.ndarray], threshold: float, bits: int = 4096, sides
     return out
 
 
+def set_hash(s: np.ndarray) -> int:
+    """Hash of a sorted set."""
+    weight = s * (np.uint64(2) * np.arange(1, len(s) + 1, dtype=np.uint64) + _ONE)
+    return int(np.bitwise_xor.reduce(weight ^ (weight >> np.uint64(29))).view(np.int64))
+
+
 def _sketches(n: int, sketch: int):
     schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.int64()), ("size", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 
@@ -150,8 +160,7 @@ def _sketches(n: int, sketch: int):
                         continue
                     s = np.unique(g[bounds[i] : bounds[i + 1]])
                     rows.append(first + i)
-                    weight = s * (np.uint64(2) * np.arange(1, len(s) + 1, dtype=np.uint64) + _ONE)
-                    hashes.append(int(np.bitwise_xor.reduce(weight ^ (weight >> np.uint64(29))).view(np.int64)))
+                    hashes.append(set_hash(s))
                     sizes.append(len(s))
                     bottoms.append(s[:sketch].view(np.int64))
                 if rows:
@@ -161,27 +170,120 @@ def _sketches(n: int, sketch: int):
 
 
 def _sets(n: int):
-    """Adds the sorted high halves of the n-gram hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("grams", pa.binary())])
+    """The sorted n-gram hashes of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.int64()), ("size", pa.int32()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
             for first, past, words in chunked_words(batch, "text"):
                 g, bounds = grams(words, n)
-                high = (g >> np.uint64(32)).astype(np.uint32)
-                sets = [np.unique(high[bounds[i] : bounds[i + 1]]).tobytes() for i in range(past - first)]
-                part = batch.slice(first, past - first)
-                yield pa.RecordBatch.from_arrays([*(part.column(k).cast(schema.field(k).type) for k in ("doc_id", "key", "chunk")), pa.array(sets, pa.binary())], schema=schema)
+                sets = [np.unique(g[bounds[i] : bounds[i + 1]]) for i in range(past - first)]
+                hashes, sizes = [set_hash(s) for s in sets], [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, past - first), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
+_SPREAD = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("own", pa.binary()), ("root", pa.binary()), ("run", pa.binary())])
+
+
+def _spread(sets: list[np.ndarray], own: np.ndarray, root: np.ndarray, buckets: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """The n-grams of some sets by bucket, as `kind`, with runs of those that come from one set: its hash, its root and their number."""
+    if not sum(map(len, sets)):
+        return
+    g = np.concatenate(sets)
+    bucket = ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, owner, g = bucket[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], g[order].astype(kind)
+    begin = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])))
+    run = np.diff(np.append(begin, len(g))).astype(np.int32)
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    end, first, past = np.append(at[1:], len(g)), np.searchsorted(begin, at), np.append(np.searchsorted(begin, at[1:]), len(begin))
+    own, root = own[owner[begin]], root[owner[begin]]
+    cut = lambda x, a, b: pa.array([x[p:q].tobytes() for p, q in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+    # Where every set is a root of its own, its hash is sent only once.
+    roots = pa.nulls(len(at), pa.binary()) if root is own or (root == own).all() else cut(root, first, past)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), cut(g, at, end), cut(own, first, past), roots, cut(run, first, past)], schema=_SPREAD)
+
+
+def _spread_texts(n: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, past, words in chunked_words(batch, "text"):
+                g, bounds = grams(words, n)
+                sets = [np.unique(g[bounds[i] : bounds[i + 1]]) for i in range(past - first)]
+                own = np.array([set_hash(s) for s in sets], dtype=np.int64)
+                yield from _spread(sets, own, own, buckets, np.uint32)
+
+    return run
+
+
+def _spread_sets(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("grams").to_pylist()]
+            yield from _spread(sets, batch.column("set_hash").to_numpy(), batch.column("root").to_numpy(), buckets, np.uint64)
+
+    return run
+
+
+def _met(kind: type, each: bool):
+    """Rows come sorted by bucket. (own, n): how many n-grams of a set are in sets of other roots too; with `each`, these n-grams and how often they come."""
+
+    def shared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        g = np.concatenate([np.frombuffer(r[0], dtype=kind) for r in rows])
+        own = np.concatenate([np.frombuffer(r[1], dtype=np.int64) for r in rows])
+        root = np.concatenate([np.frombuffer(r[2] if r[2] is not None else r[1], dtype=np.int64) for r in rows])
+        run = np.concatenate([np.frombuffer(r[3], dtype=np.int32) for r in rows])
+        order = np.argsort(g)
+        g, of = g[order], np.repeat(np.arange(len(run), dtype=np.int32), run)[order]
+        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        times = np.diff(np.append(begin, len(g)))
+        root = root[of]
+        several = np.repeat(np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin), times)
+        if each:
+            cols = [own[of[several]], g[several].view(np.int64), np.repeat(times, times)[several]]
+        else:
+            cols = np.unique(own[of[several]], return_counts=True)
+        names = ["own", "gram", "times"] if each else ["own", "n"]
+        for k in range(0, len(cols[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in cols], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "grams", "own", "root", "run")]
+            for b, *row in zip(*cols, strict=True):
+                if b != bucket and rows:
+                    yield from shared(rows)
+                    rows = []
+                bucket = b
+                rows.append(row)
+        if rows:
+            yield from shared(rows)
+
+    return run
+
+
+_SPREAD_SQL = "bucket int, grams binary, own binary, root binary, run binary"
+
+
+def _n_shared(spread: DataFrame, kind: type) -> DataFrame:
+    met = in_arrow(spread.repartition("bucket").sortWithinPartitions("bucket"), _met(kind, False), "own long, n long")
+    return met.groupBy(F.col("own").alias("set_hash")).agg(F.sum("n").alias("n"))
+
+
+def _n_buckets(grams: int | None) -> int:
+    return max(1, -(-(grams or 0) // BUCKET_GRAMS))
+
+
 def _blocks(threshold: float):
     """Rows come sorted by block; yields an edge from each member to the least id of its component."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def edges(ids: list[int], side: list[int], raw: list[bytes]) -> Iterator[tuple[int, int]]:
-        sets = [np.frombuffer(x, dtype=np.uint32) for x in raw]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in raw]
         sides = np.array(side)
         root = join_block(sets, threshold, sides=None if (sides == sides[0]).all() else sides)
         least: dict[int, int] = {}
@@ -222,7 +324,7 @@ def _packed(sample: pd.Series, size: pd.Series, rep: pd.Series) -> pd.Series:
     def pack(values, n: int, own: int) -> bytes:
         filler = mix(np.uint64(own & 0xFFFFFFFFFFFFFFFF) * np.uint64(64) + np.arange(n - len(values), dtype=np.uint64))
         both = np.concatenate([np.asarray(values, dtype=np.int64).view(np.uint64), filler])
-        return np.unique((both >> np.uint64(32)).astype(np.uint32)).tobytes()
+        return np.unique(both).tobytes()
 
     return pd.Series([pack(v, n, r) for v, n, r in zip(sample, size, rep, strict=True)], dtype=object)
 
@@ -271,7 +373,7 @@ def _linked(placed: DataFrame, members: DataFrame, threshold: float, size_ratio:
     whole = parts.join(several, "key", "left_anti").where("n > 1").select("key", "chunk", F.col("chunk").alias("lo"), F.col("chunk").alias("hi"))
     cut = written(parts.join(several, "key"))
     right = cut.select("key", F.col("chunk").alias("hi"), F.col("least").alias("least_hi"))
-    pairs = cut.withColumnRenamed("chunk", "lo").join(right, "key").where("lo <= hi").where(F.col("most") >= size_ratio * F.col("least_hi")).select("key", "lo", "hi")
+    pairs = cut.withColumnRenamed("chunk", "lo").join(right, "key").where("lo <= hi").where(F.col("most") >= size_ratio * F.col("least_hi") - 1e-9).select("key", "lo", "hi")
 
     def joined(tasks: DataFrame) -> DataFrame:
         tasks = written(tasks)
@@ -293,6 +395,46 @@ def _linked(placed: DataFrame, members: DataFrame, threshold: float, size_ratio:
     return first.unionByName(joined(sides(rest.select("key", "lo", "hi"))))
 
 
+def _in_clusters(clusters: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
+    """Edges between the classes of each cluster (node, root), by their full sets."""
+    members = clusters.join(classes.select("rep", "size"), F.col("node") == F.col("rep")).select(F.col("root").alias("key"), "rep", "size")
+    members = _chunked(written(members), chunk_rows)
+    placed = sets.select("doc_id", "grams").join(sized(members.select(F.col("rep").alias("doc_id"), "key", "chunk"), members.count(), 60), "doc_id")
+    return _linked(placed.select("key", "chunk", "doc_id", "grams"), members, threshold, threshold)
+
+
+def _completed(roots: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
+    """`roots` (node, root) with every link between different roots that meets the threshold."""
+    root = classes.select("set_hash", "size", "rep").join(roots, F.col("rep") == F.col("node"), "left")
+    left = written(root.select("set_hash", "size", "rep", F.coalesce("root", "rep").alias("root")))
+    n_left, needed = left.count(), F.lit(threshold) * F.col("size") - 1e-9
+
+    def spread() -> DataFrame:
+        buckets = _n_buckets(left.agg(F.sum(F.col("size").cast("long"))).first()[0])
+        with_root = sets.select("set_hash", "grams").join(sized(left.select("set_hash", "root"), n_left, 60), "set_hash")
+        return in_arrow(with_root.select("set_hash", "root", "grams"), _spread_sets(buckets), _SPREAD_SQL)
+
+    while True:
+        before = n_left
+        left = written(left.join(_n_shared(spread(), np.uint64), "set_hash").where(F.col("n") >= needed).drop("n"))
+        n_left = left.count()
+        if not n_left:
+            return roots
+        if n_left > 0.8 * before:
+            break
+    met = in_arrow(spread().repartition("bucket").sortWithinPartitions("bucket"), _met(np.uint64, True), "own long, gram long, times long")
+    of = met.groupBy(F.col("own").alias("set_hash")).agg(F.array_sort(F.collect_list(F.struct("times", "gram"))).alias("by"))
+    n_first = F.greatest(F.size("by") - F.ceil(needed).cast("int") + 1, F.lit(0))
+    first = of.join(left, "set_hash").select("size", "rep", F.explode(F.slice("by", F.lit(1), n_first)).alias("e")).select("size", "rep", "e.gram")
+    # Of the classes of an n-gram by size, those of similar sizes are next to each other.
+    by_size = Window.partitionBy("gram").orderBy("size", "rep")
+    chain = first.select(F.lag("rep").over(by_size).alias("a"), F.col("rep").alias("b"), "size", F.lag("size").over(by_size).alias("smaller")).where(F.col("smaller") >= needed)
+    more = written(_in_clusters(components(chain.select("a", "b")), sets, left, threshold, chunk_rows))
+    if not more.limit(1).count():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, sketch: int = 16, chunk_rows: int = 10_000) -> DataFrame:
     """(doc_id, group_id, n_linked) of every document that has a near duplicate: the least id of its group, and how many other documents it is linked with, directly or through others."""
     require(docs, id_col, text_col)
@@ -300,10 +442,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("threshold must be in (0, 1]; n, sketch and chunk_rows positive")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     prints = written(in_arrow(slim, _sketches(n, sketch), "doc_id long, set_hash long, size int, sketch array<long>"))
-    classes = written(prints.groupBy("set_hash", "size").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    classes = written(prints.groupBy("set_hash", "size").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    # All n-grams: a class that may have a similar one has enough of them in common with others. Each copy of a text counts its own.
+    total = prints.agg(F.sum(F.col("size").cast("long"))).first()[0]
+    met = _n_shared(in_arrow(slim.select("text"), _spread_texts(n, _n_buckets(total)), _SPREAD_SQL), np.uint32)
+    alive = written(classes.join(met, "set_hash").where(F.col("n") >= F.lit(threshold) * F.col("size") * F.col("copies") - 1e-9).select("set_hash", "size", "rep", "sketch"))
+    known = slim.join(sized(alive.select(F.col("rep").alias("doc_id")).distinct(), alive.count(), 40), "doc_id")
+    sets = written(in_arrow(known, _sets(n), "doc_id long, set_hash long, size int, grams binary"))
     loose = loosened(threshold, sketch)
     # Join 1: samples, in blocks of shared hashes. Counts first, so a frequent hash is no task of its own.
-    entries = classes.select("rep", F.size("sketch").alias("size"), F.explode("sketch").alias("gram"))
+    entries = alive.select("rep", F.size("sketch").alias("size"), F.explode("sketch").alias("gram"))
     counts = written(entries.groupBy("gram").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1"))
     shared = entries.join(sized(counts, counts.count(), 60), "gram")
     found = shared.groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("n", "members", "gram"))).alias("blocks"))
@@ -316,12 +464,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = found.select("rep", "size", sample.alias("sample"), F.explode(first).alias("b")).select(F.col("b.gram").alias("key"), "rep", "size", "sample")
     joined = _chunked(written(joined), chunk_rows)
     near = _linked(joined.select("key", "chunk", F.col("rep").alias("doc_id"), _packed("sample", "size", "rep").alias("grams")), joined, loose, loose)
-    # Join 2: full sets, in the clusters that join 1 links.
-    clusters = components(near)
-    members = clusters.join(classes.select("rep", "size"), F.col("node") == F.col("rep")).select(F.col("root").alias("key"), "rep", "size")
-    members = _chunked(written(members), chunk_rows)
-    known = slim.join(sized(members.select(F.col("rep").alias("doc_id"), "key", "chunk"), members.count(), 60), "doc_id")
-    roots = components(_linked(in_arrow(known, _sets(n), "doc_id long, key long, chunk int, grams binary"), members, threshold, threshold))
+    # Join 2: full sets, in the clusters that join 1 links. Then what the samples missed.
+    roots = components(_in_clusters(components(near), sets, alive, threshold, chunk_rows))
+    roots = _completed(roots, sets, alive, threshold, chunk_rows)
     own = prints.select("doc_id", "set_hash", "size").distinct()
     rep = own.join(classes.select("set_hash", "size", "rep"), ["set_hash", "size"]).select("doc_id", "rep")
     grouped = rep.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))

@@ -161,3 +161,29 @@ def test_large_blocks_are_cut_without_losing_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 3, 0.5)
     assert len(want) == 9 and found(ngram_join.near_duplicates(docs, chunk_rows=12)) == want
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    rnd = random.Random(5)
+    text = lambda k: [f"v{rnd.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for k in range(600):
+        base = text(62)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:32]))]  # 30 of 60 n-grams in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(ngram_join.near_duplicates(docs)) == {(2 * k, 2 * k + 1) for k in range(600)}
+
+
+def test_sample_size_does_not_change_the_groups(spark):
+    rows = corpus(seed=3, groups=30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 0.5)
+    assert all(found(ngram_join.near_duplicates(docs, sketch=k)) == want for k in (1, 16))
+    assert found(ngram_join.near_duplicates(docs, sketch=1, chunk_rows=7)) == want
+
+
+def test_overlap_of_exactly_the_threshold_in_a_block():
+    import numpy as np
+
+    a, b = np.arange(100, dtype=np.uint64), np.arange(55, dtype=np.uint64)  # 0.55 * 100 is a little more than 55
+    assert ngram_join.join_block([a, b, a + np.uint64(1000)], 0.55).tolist() == [0, 0, 2]
