@@ -54,7 +54,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The toxicity models and the approximate search for near duplicates can't be written in SQL.
+#: The toxicity models can't be written in SQL.
 ORACLE_SQL = None
 
 

@@ -86,3 +86,14 @@ def test_stages_keep_columns_and_edge_rows(spark, tmp_path):
 
 def test_sharding_and_mixing_agree_on_tokens():
     assert sharding.n_tokens is mixing.n_tokens
+
+
+def test_near_duplicates_at_the_threshold_go(spark):
+    rnd = random.Random(5)
+    text = lambda k: [f"v{rnd.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for k in range(600):
+        base = text(62)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:32]))]  # 30 of 60 n-grams in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {2 * k for k in range(600)}
