@@ -11,8 +11,9 @@ models of four fifths score the held-out fifth; the threshold is set on it so th
 URLs are rejected. The final models have all folds. Where even single URLs can't be split, the threshold is a ratio of 1.
 
 Without labels of URLs `weak_labels` makes them: a host with a part that is one of the seed words is rejected, any other accepted.
-Counts come from the labelled rows of least hash, about `max_rows` of each class, and are kept in full, so what the executors get of
-the models is bounded by these rows' bytes; the byte distribution is that of all rows.
+Counts come from all labelled rows and are kept in full, so the driver and the executors hold 16 bytes for each distinct byte gram of a
+class. A caller may bound that with `max_rows`: then about so many rows of each class, those of least hash, are counted, and the byte
+distribution is still that of all rows.
 
 Defined cases: a null or empty URL scores 0 and is kept. Null labels train nothing; without both classes, as in an empty table,
 nothing is rejected. Very long URLs are read whole. Rows without an id are scored like others and repeated rows each; equal URLs have
@@ -145,8 +146,8 @@ def _counts(order: int):
     return run
 
 
-def fit(pages: DataFrame, labels: Column | None = None, *, url_col: str = "url", order: int = 6, min_context: int = 3, strength: float = 4.0, max_rows: int = 500_000, max_false_rate: float = 0.005) -> Model:
-    """Models of the labelled rows; `labels` is 1 where a URL is rejected, 0 where accepted, and defaults to `weak_labels`."""
+def fit(pages: DataFrame, labels: Column | None = None, *, url_col: str = "url", order: int = 6, min_context: int = 3, strength: float = 4.0, max_rows: int | None = None, max_false_rate: float = 0.005) -> Model:
+    """Models of all labelled rows, or with `max_rows` of about so many of each class; `labels` is 1 where a URL is rejected, 0 where accepted, and defaults to `weak_labels`."""
     require(pages, url_col)
     if not 1 <= order <= 7:
         raise ValueError("order must be between 1 and 7")
@@ -161,8 +162,8 @@ def fit(pages: DataFrame, labels: Column | None = None, *, url_col: str = "url",
         return Model(None, None, order, np.inf)
     by_fold = [k for k in (0, 1) if len({(r.label, r[f"held{k}"]) for r in sizes if r.label < 2}) == 4]
     held = F.col(f"held{by_fold[0]}") if by_fold else F.lit(0)
-    fits = F.lit(False)
-    for c, n in enumerate(n_of):
+    fits = F.col("label") < 2
+    for c, n in enumerate(n_of if max_rows is not None else ()):
         fits = F.when(F.col("label") == c, F.pmod(F.xxhash64(F.lit("fit"), "url"), F.lit(1 << 20)) < round(min(1.0, max_rows / n) * (1 << 20))).otherwise(fits)
     slim = slim.select("url", (3 * held + F.col("label")).cast("int").alias("cls"), fits.alias("fits"))
     by = collect_counts(in_arrow(slim, _counts(order), COUNTS).groupBy("cls", "code").agg(F.sum("n").alias("n")))

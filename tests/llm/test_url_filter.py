@@ -139,3 +139,11 @@ def test_encoding():
 
     data, bounds = url_filter.encoded(*raw_bytes(pa.array(["Ab9", "", "é"])))
     assert data.tobytes() == b"\1ab0\2\1\xc3\xa9\2" and bounds.tolist() == [0, 5, 9]
+
+
+def test_all_labelled_rows_count(spark):
+    common = spark.range(700_000).select(F.lit("https://a.example.com/").alias("url"), F.lit(0).alias("bad"), F.col("id"))
+    common = common.select(F.concat("url", F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm")).alias("url"), "bad")
+    df = common.unionByName(spark.createDataFrame([("https://casino-win.example.net/", 1)], "url string, bad int"))
+    model = url_filter.fit(df, F.col("bad"))
+    assert model.accepted.levels[-1].n.sum() == common.select(F.sum(F.length("url") + 1)).first()[0]
