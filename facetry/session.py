@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Python workers get batches of at most so many rows and bytes; with long texts this bounds a worker's memory.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the place that `spark.checkpoint.dir` names, which all executors must share. Where the session names none, a local session gets one; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,8 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches where the session hasn't."""
+    for name, default, value in (("maxRecordsPerBatch", 10_000, ARROW_ROWS), ("maxBytesPerBatch", None, ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or now == str(default) or default is None and not now.isdigit():
+            spark.conf.set(key, str(value))
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once a Spark context: Spark itself copies the archive to each of them."""
+    """Give the executors' Python workers this package, once a Spark context: Spark itself copies the archive to each of them. Their batches are bounded too."""
+    small_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_facetry_shipped", False):
         return

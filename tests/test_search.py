@@ -1,11 +1,13 @@
 """Predicates, scores, facets, groups and order on small fixtures."""
 
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from facetry.functions import analysis, stemming
+from facetry.functions.stemming import dutch_tokens
 from facetry.operators import cluster, facets, ranking, suggest, terms
 from facetry.operators.core import Core, Field, Similarity
 from facetry.operators.facets import Facet
@@ -160,6 +162,33 @@ def test_dutch_fields_find_stems(spark):
     assert found(core, should(Term(field="f", value="katten"), Term(field="f", value="kat"))) == [1, 2] and found(core, Term(field="f", value="katten")) == [2]
 
 
+def test_stems_of_long_texts_stay_small(spark):
+    """Python workers get words in small batches, and make no object of each token."""
+    psutil = pytest.importorskip("psutil")
+    ship(spark)
+    words = F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.lit("woorden"), (F.col("id") + i) % 997))
+    rows = spark.range(0, 8000, 1, 1).select(dutch_tokens(words).alias("t")).select(F.size("t").alias("n"))
+    most, done = [0], threading.Event()
+
+    def sample():
+        while not done.wait(0.02):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name():
+                        most[0] = max(most[0], p.memory_info().rss >> 20)
+                except psutil.Error:
+                    pass
+
+    watch = threading.Thread(target=sample)
+    watch.start()
+    try:
+        assert rows.agg(F.sum("n")).first()[0] == 8000 * 600
+    finally:
+        done.set()
+        watch.join()
+    assert 0 < most[0] < 500
+
+
 def test_key_bitmaps(spark):
     keys = spark.createDataFrame([(1,), (2,), (32768,), (32769,)], "key long")
     assert sorted(map(tuple, bitmaps(keys).select("bucket", F.bitmap_count("bits")).collect())) == [(1, 3), (2, 1)]
