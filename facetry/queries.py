@@ -477,8 +477,9 @@ def suggestions_reranked(spark, sf_dir):
 def dutch_stems(spark, sf_dir):
     """Terms and stems of all documents, with the number of documents of each."""
     ship(spark)
-    placed = table(spark, sf_dir, "documents").select("doc_id", F.explode(dutch_tokens(analysis.standard(F.col("text")))).alias("t"))
-    return placed.select("doc_id", "t.term").distinct().groupBy("term").agg(F.count("*").alias("count"))
+    placed = dutch_tokens(F.array_distinct(analysis.standard(F.col("text"))))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(placed, lambda t: t.term))).alias("term"))
+    return found.distinct().groupBy("term").agg(F.count("*").alias("count"))
 
 
 @query()

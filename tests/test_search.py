@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from facetry import queries
 from facetry.functions import analysis, stemming
 from facetry.functions.stemming import dutch_tokens
 from facetry.operators import cluster, facets, ranking, suggest, terms
@@ -189,6 +190,12 @@ def test_stems_of_long_texts_stay_small(spark):
     assert 0 < most[0] < 500
 
 
+def test_documents_count_once_for_each_stem(spark, tmp_path):
+    rows = [(1, "Honden, honden en hond"), (2, "hond"), (3, "HONDEN"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.term: r["count"] for r in queries.dutch_stems(spark, str(tmp_path)).collect()} == {"hond": 3, "honden": 2, "en": 1}
+
+
 def test_key_bitmaps(spark):
     keys = spark.createDataFrame([(1,), (2,), (32768,), (32769,)], "key long")
     assert sorted(map(tuple, bitmaps(keys).select("bucket", F.bitmap_count("bits")).collect())) == [(1, 3), (2, 1)]
