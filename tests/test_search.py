@@ -196,6 +196,14 @@ def test_documents_count_once_for_each_stem(spark, tmp_path):
     assert {r.term: r["count"] for r in queries.dutch_stems(spark, str(tmp_path)).collect()} == {"hond": 3, "honden": 2, "en": 1}
 
 
+def test_places_of_stems(spark):
+    gone = stemming.VALUE_BREAK
+    rows = [(1, ["honden", gone, "kat"]), (2, None), (3, []), (4, [gone]), (5, ["kat", "katten"])]
+    df = spark.createDataFrame(rows, "id int, words array<string>").coalesce(1)
+    placed = {r.id: [tuple(x) for x in r.t] for r in df.select("id", dutch_tokens(F.col("words"), 7).alias("t")).collect()}
+    assert placed == {1: [("honden", 0), ("hond", 0), ("kat", 8)], 2: [], 3: [], 4: [], 5: [("kat", 0), ("katten", 1), ("kat", 1)]}
+
+
 def test_key_bitmaps(spark):
     keys = spark.createDataFrame([(1,), (2,), (32768,), (32769,)], "key long")
     assert sorted(map(tuple, bitmaps(keys).select("bucket", F.bitmap_count("bits")).collect())) == [(1, 3), (2, 1)]
