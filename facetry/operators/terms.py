@@ -87,7 +87,9 @@ def similar_documents(core: Core, field: str, doc_id, limit: int = 10, common_sh
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats))
     rare = F.col("df") <= F.ceil(F.col("n") * F.lit(common_share))
     weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
-    by = scored.groupBy("id").agg(F.sum(weight).alias("score"), F.max(rare.cast("int")).alias("rare"), F.count("*").alias("matched"))
+    # Decimals add up to the same in any order: rows with the same terms, such as copies, tie and go by id.
+    total = F.sum(weight.cast("decimal(28,18)")).cast("double")
+    by = scored.groupBy("id").agg(total.alias("score"), F.max(rare.cast("int")).alias("rare"), F.count("*").alias("matched"))
     asked = df.crossJoin(F.broadcast(stats)).agg(F.max(rare.cast("int")).alias("any_rare"), F.count("*").alias("terms"))
     hits = by.crossJoin(F.broadcast(asked)).where(F.col("id") != doc_id).where((F.col("rare") == 1) | ((F.col("any_rare") == 0) & (F.col("matched") == F.col("terms"))))
     return hits.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)

@@ -132,6 +132,16 @@ def test_similar_documents(spark):
     assert terms.similar_documents(core, "f", 5).count() == 10 and terms.similar_documents(core, "f", 999).count() == 0
 
 
+def test_copies_are_equally_similar(spark):
+    """Scores don't depend on the order in which terms arrive: copies tie, and go by id."""
+    words = [f"w{i}" for i in range(60)]
+    other = [(i, " ".join(words[: i % 60])) for i in range(1000, 1120)]
+    copies = [(i, " ".join(words[i % 60 :] + words[: i % 60])) for i in range(200)]
+    core = Core("c", spark.createDataFrame([*copies, *other], "id int, f string").repartition(7), "id", {"f": Field("text")})
+    found = terms.similar_documents(core, "f", 0, 150, common_share=1.0).collect()
+    assert [r.id for r in found] == list(range(1, 151)) and len({r.score for r in found}) == 1
+
+
 def test_suggestions(spark):
     values = [("u:1", 1, "lord of the rings"), ("u:2", 2, "fellowship of the ring"), ("u:3", 3, "lord of the rings")]
     records = spark.createDataFrame([(i, k, [("t", "c", v)], 1) for i, k, v in values] + [("u:1", 1, [("t", "c", "old")], 0)], "id string, key long, values array<struct<type:string,creator:string,value:string>>, seq int")
